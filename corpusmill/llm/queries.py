@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusmill.llm import quality
+from corpusmill.llm import language, quality
 from corpusmill.plans.lineage import materialize
 
 PROSE_SOURCE = F.col("source").rlike("^(italian|english)_")
@@ -34,6 +34,19 @@ def p2_found(spark: SparkSession, sf: str) -> DataFrame:
     return quality.not_prose(_classified(spark, sf)).select("doc_id")
 
 
+def p4_passages(spark: SparkSession, sf: str) -> DataFrame:
+    docs = _prose(spark, sf)
+    return language.passages(docs, language.fit_ngrams(docs), keep=["doc_id", "lang"])
+
+
+def p4_found(spark: SparkSession, sf: str) -> DataFrame:
+    junk = p2_found(spark, sf)
+    found = p4_passages(spark, sf).where("language != 'und'").groupBy("doc_id", "lang").agg(F.collect_set("language").alias("languages"))
+    label = language.normalised_label(F.col("lang"))
+    case = label.isNull() | (F.size("languages") > 1) | ~F.array_contains("languages", label)
+    return found.where(case).join(junk, "doc_id", "left_anti").select("doc_id", F.explode("languages").alias("lang"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {k: f for k, f in globals().items() if k[0] == "p" and k[1].isdigit() and callable(f)}
 
