@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusmill.llm import language, quality
+from corpusmill.llm import language, quality, sentences
 from corpusmill.plans.lineage import materialize
 
 PROSE_SOURCE = F.col("source").rlike("^(italian|english)_")
@@ -47,6 +47,24 @@ def p4_found(spark: SparkSession, sf: str) -> DataFrame:
     return found.where(case).join(junk, "doc_id", "left_anti").select("doc_id", F.explode("languages").alias("lang"))
 
 
+MAX_BROADCAST_IDS = 1_000_000
+
+
+def _sampled(spark: SparkSession, sf: str) -> DataFrame:
+    """Documents named in sentence_sample; their ids are broadcast up to a checked number, beyond it both sides shuffle."""
+    ids = spark.read.parquet(f"{sf}/sentence_sample.parquet").select("doc_id").distinct()
+    small = ids.limit(MAX_BROADCAST_IDS + 1).count() <= MAX_BROADCAST_IDS
+    return _documents(spark, sf).select("doc_id", "text").join(F.broadcast(ids) if small else ids, "doc_id", "left_semi")
+
+
+def p8_sentences(spark: SparkSession, sf: str) -> DataFrame:
+    return sentences.sentences(_sampled(spark, sf))
+
+
+def p8_found(spark: SparkSession, sf: str) -> DataFrame:
+    return p8_sentences(spark, sf).select("doc_id", "end_pos")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {k: f for k, f in globals().items() if k[0] == "p" and k[1].isdigit() and callable(f)}
 
