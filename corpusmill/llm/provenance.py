@@ -145,7 +145,7 @@ def form(text: str) -> str:
     code, _ = parts(text)
     lines = [x for x in code.split("\n") if x.strip()]
     solid = sum(map(len, lines)) or 1
-    if max(map(len, lines), default=0) > 400 and code.count(" ") < 0.12 * solid:
+    if max(map(len, lines), default=0) > 400 and code.count(" ") < 0.18 * solid:
         return "minified"
     if sum(c.isdigit() for c in code) > 0.3 * solid or re.search(r"[A-Za-z0-9+/]{56,}={0,2}[\"']?\s*[\"'\n+]", code) and len(re.findall(r"[A-Za-z0-9+/]{40,}", code)) >= 3:
         return "data"

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusmill.llm import language, leakage, quality, sentences
+from corpusmill.llm import language, leakage, provenance, quality, sentences
 from corpusmill.plans.lineage import materialize
 
 PROSE_SOURCE = F.col("source").rlike("^(italian|english)_")
@@ -47,6 +47,15 @@ def p4_found(spark: SparkSession, sf: str) -> DataFrame:
     return found.where(case).join(junk, "doc_id", "left_anti").select("doc_id", F.explode("languages").alias("lang"))
 
 
+def p5_scores(spark: SparkSession, sf: str) -> DataFrame:
+    files = _documents(spark, sf).where(F.col("source").rlike("_code$"))
+    return provenance.score(files, provenance.fit(files))
+
+
+def p5_found(spark: SparkSession, sf: str) -> DataFrame:
+    return p5_scores(spark, sf).where("not by_hand").select("doc_id")
+
+
 def p7_leaks(spark: SparkSession, sf: str) -> DataFrame:
     return leakage.leaks(_documents(spark, sf), spark.read.parquet(f"{sf}/benchmark.parquet"))
 
