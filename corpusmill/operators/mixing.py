@@ -8,6 +8,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from corpusmill.functions.ranges import edges_of, range_of
 from corpusmill.functions.text import contains_any, md5_mod, source_hash
 
 #: First matching pattern decides a category; hints only suggest one.
@@ -63,17 +64,13 @@ def budgets(stats: DataFrame, ratios: DataFrame, target: int = TARGET_CHARS) ->
     return out.withColumn("rate", F.when((F.col("docs") > 0) & (F.col("avg_chars") > 0), rate).otherwise(1.0))
 
 
-def ordinals(df: DataFrame, keys: list[str], order: str, out: str = "ordinal", buckets: int = 256) -> DataFrame:
+def ordinals(df: DataFrame, keys: list[str], order: str, out: str = "ordinal") -> DataFrame:
     """Adds the 1-based rank by ``order`` within ``keys`` without putting a whole group into one task.
 
     Ranges of the order column hold about equal numbers of rows; ranks are local to a range plus the rows of the ranges
     before it.
     """
-    edges = df.select(order).stat.approxQuantile(order, [i / buckets for i in range(1, buckets)], 0.001) if buckets > 1 else []
-    bucket = F.lit(0)
-    for i, e in enumerate(sorted(set(edges))):
-        bucket = F.when(F.col(order) > e, i + 1).otherwise(bucket)
-    ranged = df.withColumn("__b", bucket)
+    ranged = df.withColumn("__b", range_of(order, edges_of(df, order)))
     counts = ranged.groupBy(*keys, "__b").agg(F.count("*").alias("__c"))
     before = counts.withColumn("__before", F.coalesce(F.sum("__c").over(Window.partitionBy(*keys).orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("__c")
     local = F.row_number().over(Window.partitionBy(*keys, "__b").orderBy(order))
@@ -101,9 +98,9 @@ def shard(text: Column, shards: int = SHARDS) -> Column:
     return F.conv(F.right(F.md5(text), F.lit(1)), 16, 10).cast("int") % shards
 
 
-def split(df: DataFrame, order: str = "doc_id", every: int = 100, buckets: int = 256) -> DataFrame:
+def split(df: DataFrame, order: str = "doc_id", every: int = 100) -> DataFrame:
     """Adds ``position`` (from 0, over all rows) and ``split``: every hundredth row from the first is ``val``."""
-    ranked = ordinals(df.withColumn("__all", F.lit(1)), ["__all"], order, "position", buckets).drop("__all")
+    ranked = ordinals(df.withColumn("__all", F.lit(1)), ["__all"], order, "position").drop("__all")
     return ranked.withColumn("position", F.col("position") - 1).withColumn("split", F.when(F.col("position") % every == 0, "val").otherwise("train"))
 
 

@@ -14,6 +14,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, IntegerType, StringType, StructField, StructType
+from corpusmill.functions.ranges import edges_of, range_of
 
 SEQUENCE = 1025
 BOS, EOS, FIRST_BYTE = 1, 2, 4
@@ -66,16 +67,12 @@ def decoded(df: DataFrame, path: str, ids: str = "ids", out: str = "decoded", sk
     return df.mapInPandas(run, schema)
 
 
-def offsets(sized: DataFrame, size: str = "n_tokens", order: str = "doc_id", keys: tuple[str, ...] = ("split",), buckets: int = 64) -> DataFrame:
+def offsets(sized: DataFrame, size: str = "n_tokens", order: str = "doc_id", keys: tuple[str, ...] = ("split",)) -> DataFrame:
     """Adds ``offset``, the tokens before each document within its keys.
 
-    Running sums are local to ranges of the order column; the ranges' totals, a few hundred rows, are summed on top.
+    Running sums are local to ranges of the order column; the ranges' totals, at most a thousand or so, are summed on top.
     """
-    edges = sized.select(order).stat.approxQuantile(order, [i / buckets for i in range(1, buckets)], 0.001)
-    bucket = F.lit(0)
-    for i, e in enumerate(sorted(set(edges))):
-        bucket = F.when(F.col(order) > e, i + 1).otherwise(bucket)
-    ranged = sized.withColumn("__b", bucket)
+    ranged = sized.withColumn("__b", range_of(order, edges_of(sized, order)))
     totals = ranged.groupBy(*keys, "__b").agg(F.sum(size).alias("__t"))
     before = totals.withColumn("__before", F.coalesce(F.sum("__t").over(Window.partitionBy(*keys).orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("__t")
     local = F.coalesce(F.sum(size).over(Window.partitionBy(*keys, "__b").orderBy(order).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
@@ -107,8 +104,11 @@ def boundary_mask(tokens: Column, bos: int = BOS, eos: int = EOS) -> Column:
 
 def distance_mask(mask: Column, offset: int) -> Column:
     """Valid only if all of ``offset`` consecutive positions are; null where the mask is shorter than that."""
-    n = F.size(mask) - offset + 1
-    return F.when(n > 0, F.transform(F.sequence(F.lit(1), F.greatest(n, F.lit(1))), lambda i: F.forall(F.slice(mask, i.cast("int"), F.lit(offset)), lambda x: x)))
+    n = F.greatest(F.size(mask) - offset + 1, F.lit(0))
+    out = F.slice(mask, F.lit(1), n)
+    for k in range(1, offset):
+        out = F.zip_with(out, F.slice(mask, F.lit(k + 1), n), lambda a, b: a & b)
+    return F.when(n > 0, out)
 
 
 def distant_targets(targets: Column, offset: int) -> Column:

@@ -284,7 +284,7 @@ def category_budget(spark, sf):
 
 def _sampled(spark, sf):
     d = docs(spark, sf).where("source is not null")
-    ranked = mixing.ordinals(d.select("doc_id", "text", "source"), ["source"], "doc_id", buckets=32)
+    ranked = mixing.ordinals(d.select("doc_id", "text", "source"), ["source"], "doc_id")
     names = [r.source for r in table(spark, sf, "tier_targets").select("source").distinct().collect()]
     return mixing.hash_sample(ranked, _budgets(spark, sf), sorted(names))
 
