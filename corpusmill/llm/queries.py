@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusmill.llm import language, leakage, provenance, quality, sentences
+from corpusmill.llm import balance, budget, containers, language, leakage, provenance, quality, sentences
 from corpusmill.plans.lineage import materialize
 
 PROSE_SOURCE = F.col("source").rlike("^(italian|english)_")
@@ -21,6 +21,27 @@ def _prose(spark: SparkSession, sf: str) -> DataFrame:
     return _documents(spark, sf).where(PROSE_SOURCE)
 
 
+def _counted(spark: SparkSession, sf: str, *columns: str) -> DataFrame:
+    tokenizer = budget.load(spark.read.parquet(f"{sf}/bpe_vocab.parquet"), spark.read.parquet(f"{sf}/bpe_merges.parquet"))
+    return budget.with_tokens(_documents(spark, sf), tokenizer, list(columns))
+
+
+def p1_token_budget(spark: SparkSession, sf: str) -> DataFrame:
+    counted = _counted(spark, sf, "source", "lang", "domain")
+    natural = F.coalesce(language.normalised_label(F.col("lang")), F.lower(F.trim("lang")))
+    code = F.regexp_replace(F.lower(F.trim("lang")), r"^(c\+\+|cplusplus)$", "cpp")
+    slices = counted.withColumn("language", F.when(F.col("source").rlike("_code$"), code).otherwise(natural)).withColumn("domain", budget.domain_name(F.col("domain")))
+    return budget.totals(slices, "source", "language", "domain")
+
+
+def p1_document_tokens(spark: SparkSession, sf: str) -> DataFrame:
+    return _counted(spark, sf, "source")
+
+
+def p1_source_tokens(spark: SparkSession, sf: str) -> DataFrame:
+    return budget.totals(_counted(spark, sf, "source"), "source")
+
+
 def _classified(spark: SparkSession, sf: str) -> DataFrame:
     stats = materialize(quality.text_statistics(_prose(spark, sf)))
     return quality.classify(stats, quality.fit_mixture(stats))
@@ -34,6 +55,20 @@ def p2_found(spark: SparkSession, sf: str) -> DataFrame:
     return quality.not_prose(_classified(spark, sf)).select("doc_id")
 
 
+def _drawn(spark: SparkSession, sf: str) -> DataFrame:
+    records = materialize(balance.sized_records(_counted(spark, sf, "source"), spark.read.parquet(f"{sf}/mix_ratios.parquet")))
+    duals, _ = balance.solve(records)
+    return balance.draw(records, duals)
+
+
+def p3_shares(spark: SparkSession, sf: str) -> DataFrame:
+    return balance.shares(_drawn(spark, sf), spark.read.parquet(f"{sf}/mix_ratios.parquet"))
+
+
+def p3_selection(spark: SparkSession, sf: str) -> DataFrame:
+    return _drawn(spark, sf).where("copies > 0").select("doc_id", "category", "rate", "copies")
+
+
 def p4_passages(spark: SparkSession, sf: str) -> DataFrame:
     docs = _prose(spark, sf)
     return language.passages(docs, language.fit_ngrams(docs), keep=["doc_id", "lang"])
@@ -56,6 +91,14 @@ def p5_found(spark: SparkSession, sf: str) -> DataFrame:
     return p5_scores(spark, sf).where("not by_hand").select("doc_id")
 
 
+def p6_sequences(spark: SparkSession, sf: str) -> DataFrame:
+    return containers.pack(_counted(spark, sf))
+
+
+def p6_report(spark: SparkSession, sf: str) -> DataFrame:
+    return containers.report(p6_sequences(spark, sf))
+
+
 def p7_leaks(spark: SparkSession, sf: str) -> DataFrame:
     return leakage.leaks(_documents(spark, sf), spark.read.parquet(f"{sf}/benchmark.parquet"))
 
