@@ -105,7 +105,7 @@ class Pieces:
         at = np.flatnonzero(letter)
         piece = np.repeat(np.arange(p), self.letters)
         script = _script_table()[low[at]]
-        self.scripts = np.bincount(piece * (len(SCRIPTS) + 1) + script, minlength=p * (len(SCRIPTS) + 1)).reshape(p, -1)
+        self.scripts = np.bincount(piece * (len(SCRIPTS) + 1) + script, minlength=p * (len(SCRIPTS) + 1)).reshape(p, len(SCRIPTS) + 1)
         # of every Latin word: the trigrams at both edges, the last three letters, and the word itself
         latin = letter & (low < 0x250)
         sign = np.where(latin, b.low, 32).astype(np.uint32)
@@ -209,9 +209,10 @@ def _passages(lang: list[int], ll: list[list[float]], letters: list[int], ended:
             if hi < len(lang) and lang[hi] == lang[lo]:
                 continue
             n = sum(letters[lo:hi])
+            dense = 3 if LANGUAGES[lang[lo]] in ("zh", "ja") else 1  # a sign holds about as much as three letters
             if weak is None or n < weak[0]:
-                sentences = sum(letters[i] >= 12 and (lines_end or ended[i]) for i in range(lo, hi)) + (not ended[hi - 1] and letters[hi - 1] >= 12 and hi - lo > 1)
-                if n < 40 or max(sentences, n // (50 if LANGUAGES[lang[lo]] == "th" else 90)) < 2:
+                sentences = sum(letters[i] * dense >= 12 and (lines_end or ended[i]) for i in range(lo, hi)) + (not ended[hi - 1] and letters[hi - 1] * dense >= 12 and hi - lo > 1)
+                if n * dense < 40 or max(sentences, n * dense // (50 if LANGUAGES[lang[lo]] == "th" else 90)) < 2:
                     weak = (n, lo, hi)
             lo = hi
         if weak:

@@ -16,6 +16,7 @@ from __future__ import annotations
 import html
 import re
 import unicodedata
+from bisect import bisect_left, bisect_right
 from collections import defaultdict
 from collections.abc import Iterator
 from difflib import SequenceMatcher
@@ -241,16 +242,15 @@ def _candidates(places: list[tuple[int, bool, list[tuple[int, int]]]], items: It
         n = len(items.words[k])
         slack = max(3, n // 6)
         windows: list[tuple[int, int]] = []
+        hits.sort()
+        positions = [h[0] for h in hits]
         for pos, p, telling in hits:
-            if not telling:
+            lo, hi = pos - p - slack, pos - p + n + slack
+            if not telling or windows and lo - windows[-1][0] <= slack:
                 continue
-            near = n < WINDOW or any(abs(q - pos) <= n + slack and (q, r) != (pos, p) and abs((q - r) - (pos - p)) <= slack for q, r, _ in hits)
-            if near:
-                lo, hi = pos - p - slack, pos - p + n + slack
-                if windows and lo <= windows[-1][1]:
-                    windows[-1] = (windows[-1][0], max(hi, windows[-1][1]))
-                else:
-                    windows.append((lo, hi))
+            around = hits[bisect_left(positions, pos - n - slack) : bisect_right(positions, pos + n + slack)]
+            if n < WINDOW or any((q, r) != (pos, p) and abs((q - r) - (pos - p)) <= slack for q, r, _ in around):
+                windows.append((lo - slack, hi + slack))
         if windows:
             out[k] = windows
     return out
@@ -297,6 +297,8 @@ def _block(documents: DataFrame, items: Items, text: str, keep: str) -> DataFram
                         got = items.verify(k, words[lo:hi])
                         if got and (best is None or got[0] > best[0]):
                             best = (got[0], got[1], got[2] + lo)
+                        if best and best[0] >= sum(items.own[k]):
+                            break
                     if best:
                         for item_id in items.ids[k]:
                             index.append(i)
