@@ -28,8 +28,10 @@ def json_lines(spark: SparkSession, path: str, recursive: bool = True, glob: str
     Undecodable bytes become replacement signs; splitting by size is Spark's. A record that is no object, or whose text
     is null, has a null text.
     """
-    reader = spark.read.option("recursiveFileLookup", recursive).option("pathGlobFilter", glob).option("mode", "PERMISSIVE")
-    return reader.schema("text STRING, _corrupt_record STRING").json(path).withColumn("file", F.col("_metadata.file_path"))
+    lines = spark.read.option("recursiveFileLookup", recursive).option("pathGlobFilter", glob).text(path)
+    lines = lines.select("value", F.col("_metadata.file_path").alias("file")).where(F.col("value").rlike(NOT_W))
+    parsed = lines.withColumn("r", F.from_json("value", "text STRING, _corrupt_record STRING", {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt_record"}))
+    return parsed.select("r.text", "r._corrupt_record", "file")
 
 
 def text_lines(spark: SparkSession, path: str) -> DataFrame:
