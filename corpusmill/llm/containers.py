@@ -90,7 +90,9 @@ def pack(sized: DataFrame, size: str = "n_tokens", id_column: str = "doc_id", ca
         row, number, sequence, position, n = (np.concatenate(x) for x in zip(*parts))
         return pd.DataFrame({id_column: ids[row], "fragment": number, "sequence": [f"{name}-{s}" for s in sequence], "position": position, "token_from": number * capacity, "n": n})
 
-    return docs.withColumn("g", F.pmod(F.xxhash64(id_column), F.lit(groups))).groupBy("g").applyInPandas(run, schema)
+    # a fixed number of tasks: by their few bytes alone the groups would be merged into one
+    tasks = max(min(groups, sized.sparkSession.sparkContext.defaultParallelism), math.ceil(groups / 16))
+    return docs.withColumn("g", F.pmod(F.xxhash64(id_column), F.lit(groups))).repartition(tasks, "g").groupBy("g").applyInPandas(run, schema)
 
 
 def report(packed: DataFrame, capacity: int = CAPACITY) -> DataFrame:

@@ -8,13 +8,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpusmill.llm import balance, budget, containers, language, leakage, provenance, quality, sentences
-from corpusmill.plans.lineage import materialize
+from corpusmill.plans.lineage import materialize, spread
 
 PROSE_SOURCE = F.col("source").rlike("^(italian|english)_")
 
 
 def _documents(spark: SparkSession, sf: str) -> DataFrame:
-    return spark.read.parquet(f"{sf}/documents.parquet")
+    return spread(spark.read.parquet(f"{sf}/documents.parquet"))
 
 
 def _prose(spark: SparkSession, sf: str) -> DataFrame:
