@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from corpusmill.functions import text as T
 from corpusmill.operators import decontaminate, dedup, metrics, mixing, packing, quality, sampling
+from corpusmill.plans.lineage import spread
 from corpusmill.plans.oracle import SQL
 from corpusmill.sources import readers
 
@@ -34,12 +35,6 @@ def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/{name}.parquet")
 
 
-def spread(df: DataFrame) -> DataFrame:
-    """Small inputs come as one split; only those are dealt out to all cores, large ones are left as they are read."""
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if len(df.inputFiles()) < cores and df.rdd.getNumPartitions() < cores else df
-
-
 def docs(spark: SparkSession, sf: str, *columns: str) -> DataFrame:
     return spread(table(spark, sf, "documents").select(*(columns or ("doc_id", "text", "source"))))
 
