@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from corpusmill.functions import text as T
 from corpusmill.operators import decontaminate, dedup, metrics, mixing, packing, quality, sampling
-from corpusmill.plans.lineage import spread
+from corpusmill.plans.lineage import materialize, spread
 from corpusmill.plans.oracle import SQL
 from corpusmill.sources import readers
 
@@ -129,24 +129,25 @@ def rejection_report(spark, sf):
     return r.groupBy("source", F.lower(F.trim("reason")).alias("reason")).agg(F.sum(F.coalesce("n", F.lit(0))).alias("n"))
 
 
-def _kept(spark, sf):
-    return quality.kept(docs(spark, sf)).select("doc_id", "source", "is_code", "normalised", "digest")
+def _kept(spark, sf, *columns):
+    """Kept documents, written once: what follows reads them more than once, and the filter is the expensive part."""
+    return materialize(quality.kept(docs(spark, sf)).select(*(columns or ("doc_id", "source", "is_code", "normalised", "digest"))))
 
 
 @query
 def kept_corpus(spark, sf):
-    k = dedup.exact_duplicates(_kept(spark, sf).withColumn("rank", F.when(F.col("is_code"), 0).otherwise(1)), order=("rank", "doc_id"))
+    k = dedup.exact_duplicates(_kept(spark, sf, "doc_id", "source", "is_code", "digest").withColumn("rank", F.when(F.col("is_code"), 0).otherwise(1)), order=("rank", "doc_id"))
     return k.where("is_first").select("doc_id", "source", "digest")
 
 
 @query
 def exact_dedup(spark, sf):
-    return dedup.exact_duplicates(_kept(spark, sf)).select("doc_id", "digest", "is_first")
+    return dedup.exact_duplicates(_kept(spark, sf, "doc_id", "digest")).select("doc_id", "digest", "is_first")
 
 
 @query
 def dup_groups(spark, sf):
-    return dedup.duplicate_groups(_kept(spark, sf))
+    return dedup.duplicate_groups(quality.kept(docs(spark, sf)))
 
 
 @query
