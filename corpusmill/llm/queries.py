@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from corpusmill.llm import balance, budget, containers, language, leakage, provenance, quality, sentences
 from corpusmill.plans.lineage import materialize, spread
 
-PROSE_SOURCE = F.col("source").rlike("^(italian|english)_")
+PROSE_SOURCE = "source rlike '^(italian|english)_'"
 
 
 def _documents(spark: SparkSession, sf: str) -> DataFrame:
