@@ -12,6 +12,7 @@ repeated rows get equal results; an empty table gives an empty table.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -36,7 +37,9 @@ NAMES = {
 BUCKETS = 1 << 16
 SAMPLE_PER_LABEL = 120
 SAMPLE_CHARS = 6000
-PENALTY = 12.0
+PENALTY = 20.0
+#: Signs without width inside words.
+HIDDEN = re.compile("[\u00ad\u200b-\u200d\u2060\ufeff]")
 LONG = 90
 _STOP = np.zeros(0x10001, bool)
 _STOP[[ord(c) for c in ".!?…。！？।؟;"]] = True
@@ -171,8 +174,15 @@ def fit_ngrams(documents: DataFrame, text: str = "text", label: str = "lang", pe
         counts = _seed_counts()
         for p in blocks:
             ll = p.score(model)
-            best, top = ll.argmax(1), np.sort(ll, 1)
-            sure = (best < len(LATIN)) & (top[:, -1] - top[:, -2] > 3) & (p.letters >= 20)
+            # a text counts as a whole, and only if most of it agrees: odd sentences are learned from their surroundings
+            if not len(p.lo):
+                continue
+            first = np.flatnonzero(np.concatenate([[True], p.row[1:] != p.row[:-1]]))
+            whole = np.add.reduceat(np.maximum(ll - ll.max(1, keepdims=True), -30), first, 0).argmax(1)
+            main = np.repeat(whole, np.diff(np.concatenate([first, [len(p.row)]])))
+            agree = np.add.reduceat(p.letters * (ll.argmax(1) == main), first) >= 0.7 * np.add.reduceat(p.letters, first)
+            sure = (main < len(LATIN)) & np.repeat(agree, np.diff(np.concatenate([first, [len(p.row)]])))
+            best = np.minimum(main, len(LATIN) - 1)
             piece = np.maximum(np.searchsorted(p.lo, p.word_at, "right") - 1, 0)
             good = sure[piece]
             flat = (p.features[good] * len(LATIN) + best[piece[good]][:, None]).ravel()
@@ -233,7 +243,8 @@ def _passages(lang: list[int], ll: list[list[float]], letters: list[int], ended:
 
 def passages_of(texts: list[str], model: np.ndarray) -> list[list[tuple[int, int, str, float]]]:
     """For each text its passages: start, end, language and confidence."""
-    p = Pieces(texts)
+    hidden = {i for i, t in enumerate(texts) if not t.isascii() and HIDDEN.search(t)}
+    p = Pieces([HIDDEN.sub("", t) if i in hidden else t for i, t in enumerate(texts)])
     out: list[list[tuple[int, int, str, float]]] = [[] for _ in texts]
     ll = p.score(model)
     if len(p.lo):
@@ -259,6 +270,9 @@ def passages_of(texts: list[str], model: np.ndarray) -> list[list[tuple[int, int
         base = p.block.start[p.row[begin]]
         for row, lo, hi, k, c in zip(p.row[begin].tolist(), (p.lo[begin] - base).tolist(), (p.hi[end] - base).tolist(), best[begin].tolist(), sure.tolist()):
             out[row].append((lo, hi, LANGUAGES[k], c))
+    for i in hidden:  # back to places in the text as delivered
+        kept = [k for k, c in enumerate(texts[i]) if not HIDDEN.match(c)] + [len(texts[i])]
+        out[i] = [(kept[lo], kept[hi], lang, c) for lo, hi, lang, c in out[i]]
     for i, t in enumerate(texts):
         if not out[i] and t.strip():
             out[i] = [(0, len(t), "und", 0.0)]

@@ -28,6 +28,7 @@ STATS = ["n_chars", "n_words", "mean_word_length", "symbol_ratio", "digit_ratio"
 CLASSES = ["prose", "list", "table", "junk"]
 PROSE_DENSITY = 0.17
 FAR_DENSITY = 0.06
+FAR_LINE = 14
 
 
 @lru_cache(1)
@@ -47,6 +48,7 @@ def _scripts() -> tuple[np.ndarray, np.ndarray]:
     return han, thai
 
 
+_HIDDEN = re.compile("[\u00ad\u200b-\u200d\u2060\ufeff]")
 _MARKUP, _ENTITY = re.compile(r"</?[a-zA-Z][^<>]{0,300}>"), re.compile(r"&(#\d+|#x[0-9a-fA-F]+|[a-zA-Z]+);")
 _ENDS = np.zeros(0x10001, bool)
 _ENDS[[ord(c) for c in ".!?…。！？।؟;:»”’\"')」』"]] = True
@@ -59,6 +61,7 @@ _STOPS[[ord(c) for c in ".!?…。！？।؟\n"]] = True
 def statistics(texts: list[str]) -> np.ndarray:
     """One row of STATS per text; blank texts give zeros."""
     out = np.zeros((len(texts), len(STATS)))
+    texts = [_HIDDEN.sub("", t) if not t.isascii() and _HIDDEN.search(t) else t for t in texts]
     b = Block([_MARKUP.sub(" ", html.unescape(t)) if "</" in t or "&" in t and _ENTITY.search(t) else t for t in texts])
     n, rows = len(b.cp), len(texts)
     if not n:
@@ -127,7 +130,7 @@ def statistics(texts: list[str]) -> np.ndarray:
     cw = words(cs, ce)
     dense = np.maximum(commons(cs, ce) / np.maximum(cw, 1), np.where(cw < 5, (lcommon / np.maximum(lwords, 1))[line_of], 0))
     clean = (over(c_other, cs, ce) + over(c_digit, cs, ce) < 0.45 * csolid) & ((over(c_separator, ls, le) < 0.05 * lsolid) & (over(c_digit, ls, le) < 0.4 * lsolid))[line_of]
-    prose = clean & np.where(far, (dense >= FAR_DENSITY) | ends[line_of], dense >= PROSE_DENSITY) & (lwords[line_of] >= 4)
+    prose = clean & np.where(far, (dense >= FAR_DENSITY) | (ends & (over(c_far, ls, le) >= FAR_LINE))[line_of], dense >= PROSE_DENSITY) & (lwords[line_of] >= 4)
     total = np.maximum(np.bincount(cdoc, csolid, minlength=rows), 1)
 
     lo, hi = doc_start[:-1], doc_start[1:]
