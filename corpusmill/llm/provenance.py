@@ -149,8 +149,9 @@ def form(text: str) -> str:
         return "minified"
     if sum(c.isdigit() for c in code) > 0.3 * solid or re.search(r"[A-Za-z0-9+/]{56,}={0,2}[\"']?\s*[\"'\n+]", code) and len(re.findall(r"[A-Za-z0-9+/]{40,}", code)) >= 3:
         return "data"
-    shapes = Counter(re.sub(r"[A-Za-z_]\w*", "a", re.sub(r"\d+", "0", x.strip())) for x in lines)
-    if len(lines) >= 14 and shapes.most_common(1)[0][1] >= 0.6 * len(lines):
+    shapes = Counter(re.sub(r"[A-Za-z_]\w*", "a", re.sub(r"\d+", "0", x.strip())) for x in lines if len(x.strip()) > 3).most_common(2)
+    told = sum(len(x.strip()) > 3 for x in lines)
+    if told >= 14 and (shapes[0][1] >= 0.6 * told or sum(n for _, n in shapes) >= 0.75 * told):
         return "tool"
     return ""
 
