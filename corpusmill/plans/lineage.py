@@ -28,4 +28,4 @@ def materialize(df: DataFrame) -> DataFrame:
 def spread(df: DataFrame) -> DataFrame:
     """Small inputs come as one split; only those are dealt out to all cores, large ones are left as they are read."""
     cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if len(df.inputFiles()) < cores and df.rdd.getNumPartitions() < cores else df
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
