@@ -81,7 +81,16 @@ def statistics(texts: list[str]) -> np.ndarray:
     spaced = letter & ~(han | thai) if foreign else letter
     ws = np.flatnonzero(spaced & (np.concatenate([[True], ~spaced[:-1]]) | doc_edge[:-1]))
     stop = np.flatnonzero(spaced & (np.concatenate([~spaced[1:], [True]]) | doc_edge[1:])) + 1
-    is_common = member(span_hashes(b.low, ws, stop), common)
+    hashes = span_hashes(b.low, ws, stop)
+    is_common = member(hashes, common)
+    varied = np.ones(rows, bool)
+    far_words = np.flatnonzero(low[ws] > 0x370)
+    if len(far_words):  # a few words over and over are no sentences, whatever ends them
+        wdoc = b.rows_of(ws[far_words])
+        with np.errstate(over="ignore"):
+            once = np.unique(hashes[far_words] ^ (wdoc.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)), return_index=True)[1]
+        of = np.bincount(wdoc, minlength=rows)
+        varied = (of < 40) | (np.bincount(wdoc[once], minlength=rows) >= 0.2 * np.minimum(of, 200))
     blank = np.concatenate([(kind == SPACE) | (kind == NEWLINE), [True]])
     short = stop - ws == 1
     is_common &= ~short | ((blank[stop] | doc_edge[stop]) & (blank[ws - 1] | doc_edge[ws]))
@@ -130,7 +139,7 @@ def statistics(texts: list[str]) -> np.ndarray:
     cw = words(cs, ce)
     dense = np.maximum(commons(cs, ce) / np.maximum(cw, 1), np.where(cw < 5, (lcommon / np.maximum(lwords, 1))[line_of], 0))
     clean = (over(c_other, cs, ce) + over(c_digit, cs, ce) < 0.45 * csolid) & ((over(c_separator, ls, le) < 0.05 * lsolid) & (over(c_digit, ls, le) < 0.4 * lsolid))[line_of]
-    prose = clean & np.where(far, (dense >= FAR_DENSITY) | (ends & (over(c_far, ls, le) >= FAR_LINE))[line_of], dense >= PROSE_DENSITY) & (lwords[line_of] >= 4)
+    prose = clean & np.where(far, (dense >= FAR_DENSITY) | (ends & (over(c_far, ls, le) >= FAR_LINE))[line_of] & varied[cdoc], dense >= PROSE_DENSITY) & (lwords[line_of] >= 4)
     total = np.maximum(np.bincount(cdoc, csolid, minlength=rows), 1)
 
     lo, hi = doc_start[:-1], doc_start[1:]
