@@ -5,6 +5,9 @@ entropy are exponential tilts of them, cut off at the category's repeats. The du
 gradient and one Hessian per category, summed over a table of (category, size) counts in one distributed job a step. The
 rates become whole copies by systematic rounding along the sizes, which keeps every group's total within one document.
 
+With the constraints that the tables give, a category's tokens and its mean document length, the uniform rate is feasible
+and therefore the optimum: the dual ends at (ln rate, 0) and no document is tilted against another of its category.
+
 Defined results: a null or empty text and a source without category or ratio are not drawn; a category with ratio but no
 text is reported with share 0 and takes no part in the feasible total; repeated rows are separate records.
 """

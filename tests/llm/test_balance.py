@@ -45,6 +45,14 @@ def test_the_optimum_is_an_exponential_tilt(tables):
         assert abs((w * t).sum() / t.sum() - d["rate"]) < 1e-4 and abs(w.mean() - d["rate"]) < 1e-4
 
 
+def test_a_ratio_per_category_alone_tilts_nothing(tables):
+    """What the README states: the dual ends at (ln rate, 0), so all documents of a category have one rate."""
+    counted, ratios = tables
+    duals, _ = balance.solve(balance.sized_records(counted, ratios))
+    open_ = [d for d in duals.values() if not d["full"]]
+    assert open_ and all(np.allclose(d["dual"], (np.log(d["rate"]), 0), atol=1e-5) for d in open_)
+
+
 def test_unreachable_totals_are_capped(tables):
     counted, ratios = tables
     records = balance.sized_records(counted, ratios)
