@@ -18,8 +18,11 @@ from corpusmill.plans.lineage import materialize
 
 PRIME = (1 << 31) - 1
 PERMUTATIONS = 64
-#: Bands and rows for 64 permutations.
-BANDS_TEXT, BANDS_CODE = (4, 15), (5, 11)
+#: Fixed value: bands and rows for 64 permutations in the bucket query.
+BANDS_TEXT = (4, 15)
+#: Near duplicates: words of a shingle, the least Jaccard similarity, and bands and rows of the candidates. A pair of
+#: similarity 0.8 shares no band with probability (1 - 0.8**4)**32 = 5e-8.
+NEAR_WORDS, NEAR_SIMILARITY, NEAR_BANDS = 5, 0.8, (32, 4)
 
 
 def exact_duplicates(df: DataFrame, digest: str = "digest", order: tuple[str, ...] = ("doc_id",)) -> DataFrame:
@@ -60,8 +63,8 @@ def permutation(i: int) -> tuple[int, int]:
     return a, b
 
 
-def _registers(permutations: int):
-    pairs = np.array([permutation(i) for i in range(permutations)], np.int64)
+def _registers(permutations: int, pairs: np.ndarray | None = None):
+    pairs = np.array([permutation(i) for i in range(permutations)], np.int64) if pairs is None else pairs
 
     @F.pandas_udf("array<bigint>")
     def run(shingles: Iterator[pd.Series]) -> Iterator[pd.Series]:
@@ -114,24 +117,42 @@ def greedy_removed(memberships: DataFrame, id_column: str = "doc_id", max_rounds
     raise RuntimeError("the longest chain of near duplicates exceeds max_rounds")
 
 
-def near_duplicates(df: DataFrame, text: str = "normalised", scope: list[str] | None = None, is_code: str = "is_code", id_column: str = "doc_id") -> DataFrame:
-    """``doc_id, class_id, removed``: documents of one signature form a class, whose first member stands for them.
+def shingle_sets(df: DataFrame, text: str, out: str = "shingles", n: int = NEAR_WORDS) -> DataFrame:
+    """Array of distinct 64-bit hashes of the runs of n words; a shorter text is one run, a null text has a null array."""
+    df = df.withColumn("__w", words(F.lower(nfc(F.col(text)))))
+    runs = F.transform(F.sequence(F.lit(1), F.greatest(F.size("__w") - (n - 1), F.lit(1))), lambda i: F.xxhash64(F.slice("__w", i, n)))
+    return df.withColumn(out, F.when(F.size("__w") > 0, F.array_distinct(runs)).when(F.col("__w").isNotNull(), F.array().cast("array<bigint>"))).drop("__w")
+
+
+def near_duplicates(df: DataFrame, text: str = "normalised", scope: list[str] | None = None, id_column: str = "doc_id", similarity: float = NEAR_SIMILARITY) -> DataFrame:
+    """``doc_id, class_id, removed``: a text goes if an earlier kept one of its scope is at least that similar.
 
-    Candidates are not verified beyond the bands. Copies of a representative are removed. Within a scope (a source) the
-    signature classes keep buckets small: a text that a third of the rows repeat is one representative.
+    Similarity is Jaccard's over the sets of five-word shingles. Texts of one set form a class, whose first member stands
+    for them, so a text that a third of the rows repeat is one representative. Candidates are the representatives that
+    share a band and whose sets are of similar size; each pair is then counted exactly, and the greedy rule runs on what
+    holds. Null texts are classes of their own.
     """
     scope = scope or ["source"]
-    signed = signatures(df.select(*scope, id_column, is_code, text), text).select(*scope, id_column, is_code, "signature")
-    signed = materialize(signed.withColumn("key", F.md5(F.concat_ws(",", F.col("signature").cast("array<string>")))))
-    classes = materialize(signed.groupBy(*scope, "key").agg(F.min(F.struct(id_column, is_code, "signature")).alias("r")))
-    members = signed.select(*scope, id_column, "key").join(classes.select(*scope, "key", F.col(f"r.{id_column}").alias("class_id")), [*scope, "key"])
-    heads = classes.select(*scope, "r.*")
-    parts = []
-    for flag, (bands, rows) in ((False, BANDS_TEXT), (True, BANDS_CODE)):
-        parts.append(band_keys(heads.where(F.col(is_code) == flag), [*scope, id_column], bands, rows).withColumn("band", F.col("band") + (100 if flag else 0)))
-    buckets = parts[0].unionByName(parts[1]).select(F.xxhash64(*scope, "band", "bucket").alias("bucket"), id_column)
-    gone = greedy_removed(buckets, id_column).select(F.col("id").alias("class_id"), F.lit(True).alias("gone"))
-    return members.join(gone, "class_id", "left").select(id_column, "class_id", (F.coalesce("gone", F.lit(False)) | (F.col(id_column) != F.col("class_id"))).alias("removed"))
+    sets = shingle_sets(df.select(*scope, F.col(id_column).alias("id"), text), text).drop(text)
+    sets = materialize(sets.withColumn("key", F.when(F.col("shingles").isNull(), F.concat(F.lit("null "), F.col("id").cast("string"))).otherwise(F.md5(F.concat_ws(",", F.array_sort("shingles").cast("array<string>"))))))
+    classes = materialize(sets.groupBy(*scope, "key").agg(F.min("id").alias("class_id")))
+    members = sets.select(*scope, "id", "key").join(classes, [*scope, "key"])
+    heads = materialize(sets.where(F.size("shingles") > 0).join(classes.select(F.col("class_id").alias("id")), "id", "left_semi").drop("key"))
+    bands, rows = NEAR_BANDS
+    pairs = np.random.default_rng(bands * rows).integers(1, PRIME, (bands * rows, 2))
+    low = heads.select(*scope, "id", F.size("shingles").alias("n"), _registers(bands * rows, pairs)(F.transform("shingles", lambda x: F.pmod(x, F.lit(PRIME)))).alias("signature"))
+    buckets = materialize(low.select("id", "n", F.explode(F.array(*(F.xxhash64(*scope, F.lit(i), F.slice("signature", i * rows + 1, rows)) for i in range(bands)))).alias("bucket")))
+    shared = buckets.groupBy("bucket").agg(F.count("*").alias("c")).where("c > 1").select("bucket")
+    one = materialize(buckets.join(shared, "bucket"))
+    other = one.select("bucket", F.col("id").alias("id_b"), F.col("n").alias("n_b"))
+    near = (F.col("id") < F.col("id_b")) & (F.least("n", "n_b") >= similarity * F.greatest("n", "n_b") - 1e-9)
+    candidates = one.join(other, "bucket").where(near).select("id", "id_b").distinct()
+    both = candidates.join(heads.select("id", "shingles"), "id").join(heads.select(F.col("id").alias("id_b"), F.col("shingles").alias("shingles_b")), "id_b")
+    common = F.size(F.array_intersect("shingles", "shingles_b"))
+    links = both.where(common >= similarity * (F.size("shingles") + F.size("shingles_b") - common) - 1e-9)
+    ends = links.select(F.concat_ws(" ", F.col("id").cast("string"), F.col("id_b").cast("string")).alias("bucket"), F.explode(F.array("id", "id_b")).alias("id"))
+    gone = greedy_removed(ends, "id").select(F.col("id").alias("class_id"), F.lit(True).alias("gone"))
+    return members.join(gone, "class_id", "left").select(F.col("id").alias(id_column), "class_id", (F.coalesce("gone", F.lit(False)) | (F.col("id") != F.col("class_id"))).alias("removed"))
 
 
 def fingerprints(df: DataFrame, text: str = "normalised", safe_middle: bool = False) -> DataFrame:

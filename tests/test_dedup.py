@@ -48,6 +48,29 @@ def test_near_duplicates(spark):
     assert dedup.near_duplicates(docs(spark, rows).limit(0)).count() == 0
 
 
+def shingled(text):
+    w = text.split()
+    return {tuple(w[i : i + 5]) for i in range(max(len(w) - 4, 1))}
+
+
+def test_near_copies_around_the_threshold_against_brute_force(spark):
+    r = random.Random(6)
+    rows = [(0, "s", False, " ".join(f"w{i}" for i in range(200))), (1, "s", True, " ".join([f"w{i}" for i in range(199)] + ["other"]))]
+    for k in range(60):
+        base = [f"k{k}w{i}" for i in range(100)]
+        copy = base[: r.randint(82, 95)] + [f"k{k}x{i}" for i in range(r.randint(0, 8))]
+        rows += [(10 * k + 10, "s", bool(k % 2), " ".join(base)), (10 * k + 11, "s", bool(k % 2), " ".join(copy))]
+    kept, gone = [], set()
+    for i, _, _, text in rows:
+        a = shingled(text)
+        if any(len(a & b) >= 0.8 * len(a | b) for b in kept):
+            gone.add(i)
+        else:
+            kept.append(a)
+    assert 1 in gone and 15 < len(gone) < 55
+    assert {x.doc_id for x in dedup.near_duplicates(docs(spark, rows)).where("removed").collect()} == gone
+
+
 def test_signature_estimates_similarity(spark):
     a, b = [f"w{i}" for i in range(300)], [f"w{i}" for i in range(30, 330)]
     s = {r.doc_id: r.signature for r in dedup.signatures(docs(spark, [(1, "s", False, " ".join(a)), (2, "s", False, " ".join(b))]), "normalised").collect()}
