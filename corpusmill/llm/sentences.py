@@ -2,7 +2,9 @@
 
 A pushdown automaton runs over the signs of a paragraph that can matter: terminators, quotes, brackets and, in Thai,
 spaces. Its stack holds the open quotes and brackets; a terminator inside them ends nothing, so a quotation stays with
-the words around it. Whether a full stop ends a sentence is decided by tries of abbreviations, read backwards from the
+the words around it. A second stack holds the open list levels: a marker (figure, single letter or roman numeral) that
+begins a line's sentence opens a level, the next in order continues it, also within the line, and the stop of a marker is
+part of its item. Whether a full stop ends a sentence is decided by tries of abbreviations, read backwards from the
 stop, by initials, numbers and ordinals, and by what follows.
 
 Defined results: null and blank texts give no row; a blank line always ends a unit; trailing white space belongs to no
@@ -39,6 +41,10 @@ GERMAN = re.compile(r"(?i)\b(?:der|die|und|nicht|wurde|wird|eine?[rnms]?|mit|fü
 OPEN = {"(": ")", "[": "]", "{": "}", "«": "»", "“": "”", "„": "“”", "‹": "›", "「": "」", "『": "』", "（": "）", "【": "】", "《": "》", "‚": "‘’"}
 CLOSERS = frozenset("\"')]}»”“’›」』）】》")
 EVENTS = re.compile(r"[.!?…。！？।؟；;]+(?:\s?[.!?…]+)*|[\"'‘’()\[\]{}«»“”„‹›「」『』（）【】《》‚]|(?<=[ก-๛])[  \n\r]+(?=[ก-๛A-ZÀ-Þ\"“«])")
+#: What stands between the start of a sentence and the stop of a list marker: bullet and figure, letter or numeral.
+MARKER = re.compile(r"\s*(?:[-–—*•·▪‣◦]\s+)?((?:\d{1,3}\.)*\d{1,3}|[^\W\d_]|[ivxlc]{2,7}|[IVXLC]{2,7})")
+NEXT_MARKER = re.compile(r"(?=\s)" + MARKER.pattern + r"\.\s")
+ROMAN_NUMBER = re.compile(r"(?:XC|XL|L?X{0,3})(?:IX|IV|V?I{0,3})|C")
 DEEPEST, REACH = 64, 120
 BLANK_LINE = re.compile(r"(?:\r\n?|\n|\u2028)[^\S\n\r\u2028\u2029]*(?:\r\n?|\n|\u2028)\s*|\u2029\s*")
 INVISIBLE = "\ufeff\u200b\u200c\u200d\u2060\u00ad"
@@ -158,6 +164,53 @@ def _stop_ends(text: str, start: int, lo: int, hi: int, german: bool) -> bool:
     return True
 
 
+def _roman(word: str) -> int:
+    """Value of a roman numeral up to 100, or 0."""
+    if not word or not ROMAN_NUMBER.fullmatch(word.upper()):
+        return 0
+    values = [{"I": 1, "V": 5, "X": 10, "L": 50, "C": 100}[c] for c in word.upper()]
+    return sum(-v if v < max(values[i:]) else v for i, v in enumerate(values))
+
+
+def _counts(word: str) -> list[tuple[str, int]]:
+    """The orders a marker can stand in, each with its place: a single letter may be a numeral, too."""
+    head, _, last = word.rpartition(".")
+    if last.isdigit():
+        return [(f"{head}.1", int(last))]
+    case = "A" if word[0].isupper() else "a"
+    out = [(f"{case} letter", ord(word))] if len(word) == 1 else []
+    return out + ([(f"{case} roman", n)] if (n := _roman(word)) else [])
+
+
+def _marks(text: str, start: int, lo: int, levels: list[list[tuple[str, int]]]) -> bool:
+    """Whether the stop at lo belongs to a list marker at the sentence's start; keeps the stack of list levels.
+
+    At a line's start any marker opens an item; within a line only the next in the order of an open level does.
+    """
+    m = MARKER.fullmatch(text, start, lo)
+    if m is None or lo + 1 >= len(text) or not text[lo + 1].isspace() or not (counts := _counts(m[1])):
+        return False
+    for depth in range(len(levels) - 1, -1, -1):
+        if following := [(k, n) for k, n in counts if (k, n - 1) in levels[depth]]:
+            levels[depth:] = [following]
+            return True
+    if text[:start].strip() and not re.search(r"[\n\r\u2028]", text[start : m.start(1)]):
+        return False
+    if len(levels) == DEEPEST:
+        del levels[0]
+    levels.append(counts)
+    return True
+
+
+def _item_follows(text: str, hi: int, levels: list[list[tuple[str, int]]]) -> bool:
+    """Whether an item's marker stands behind hi: the next of an open level, or on a new line the first of one."""
+    m = NEXT_MARKER.match(text, hi)
+    if m is None:
+        return False
+    counts, new_line = _counts(m[1]), re.search(r"[\n\r\u2028]", text[hi : m.start(1)])
+    return any((k, n - 1) in level for level in levels for k, n in counts) or bool(new_line) and any(n == 1 or n == ord("a") for _, n in counts)
+
+
 def boundaries(text: str, base: int = 0) -> list[int]:
     """End offsets of the sentences of one paragraph."""
     events = [m.span() for m in EVENTS.finditer(text)]
@@ -166,6 +219,7 @@ def boundaries(text: str, base: int = 0) -> list[int]:
         match = _pairs(text, events)
         german = bool(len(GERMAN.findall(text)) * 12 > text.count(" "))
         start, depth, opened, k = 0, 0, 0, 0
+        levels: list[list[tuple[str, int]]] = []
         while k < len(events):
             lo, hi = events[k]
             c = text[lo]
@@ -207,6 +261,8 @@ def boundaries(text: str, base: int = 0) -> list[int]:
                 continue
             elif c.isspace():
                 end = lo
+            elif c == "." and hi - lo == 1 and lo - start < REACH and _marks(text, start, lo, levels):
+                continue
             elif c in ".!?…。！？।؟；;":
                 run = text[lo:hi]
                 while hi < len(text) and text[hi] in CLOSERS and not (k < len(events) and events[k][0] == hi and match.get(k, -1) > k):
@@ -237,6 +293,8 @@ def boundaries(text: str, base: int = 0) -> list[int]:
                     end = hi
                 elif not gap and n.isupper() and nxt + 1 < len(text) and text[nxt + 1].islower():
                     end = hi
+                if end < 0 and run[-1] in ".!?" and not (run == "." and abbreviation(text, lo, start)) and _item_follows(text, hi, levels):
+                    end = hi
             if end >= 0 and text[start:end].strip().strip(INVISIBLE):
                 out.append(end)
                 start = end

@@ -42,6 +42,14 @@ def test_a_blank_line_ends_a_unit_and_a_line_break_does_not():
     assert cut('He said "one thing\n\nand never closed it. Next.') == ['He said "one thing', "and never closed it.", "Next."]
 
 
+def test_the_stop_of_a_list_marker_belongs_to_its_item():
+    assert cut("1. Compare the prices. 2. Call the office.") == ["1. Compare the prices.", "2. Call the office."]
+    assert cut("1. Buy rope.\n a. Ask Ann.\n b. Ask Bob.\n2. Sell it.") == ["1. Buy rope.", "a. Ask Ann.", "b. Ask Bob.", "2. Sell it."]
+    assert cut("Before.\n- iv. The fourth. v. The fifth.\n\n3.2. A heading") == ["Before.", "- iv. The fourth.", "v. The fifth.", "3.2. A heading"]
+    assert cut("How many came? 12. Nobody knew.") == ["How many came?", "12.", "Nobody knew."]
+    assert cut("It closed in\n1914. Nobody knew.") == ["It closed in\n1914.", "Nobody knew."]
+
+
 def test_a_forgotten_space_is_no_obstacle():
     assert cut("The bell was sold.Nobody knew it.") == ["The bell was sold.", "Nobody knew it."]
 
