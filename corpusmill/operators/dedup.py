@@ -136,12 +136,16 @@ def near_duplicates(df: DataFrame, text: str = "normalised", scope: list[str] |
     sets = shingle_sets(df.select(*scope, F.col(id_column).alias("id"), text), text).drop(text)
     sets = materialize(sets.withColumn("key", F.when(F.col("shingles").isNull(), F.concat(F.lit("null "), F.col("id").cast("string"))).otherwise(F.md5(F.concat_ws(",", F.array_sort("shingles").cast("array<string>"))))))
     classes = materialize(sets.groupBy(*scope, "key").agg(F.min("id").alias("class_id")))
-    members = sets.select(*scope, "id", "key").join(classes, [*scope, "key"])
+    theirs = classes.select(*(F.col(c).alias(f"__{c}") for c in scope), F.col("key").alias("__key"), "class_id")
+    same = F.col("key") == F.col("__key")
+    for c in scope:  # a null is a scope like any other
+        same = same & F.col(c).eqNullSafe(F.col(f"__{c}"))
+    members = sets.select(*scope, "id", "key").join(theirs, same).select("id", "class_id")
     heads = materialize(sets.where(F.size("shingles") > 0).join(classes.select(F.col("class_id").alias("id")), "id", "left_semi").drop("key"))
     bands, rows = NEAR_BANDS
     pairs = np.random.default_rng(bands * rows).integers(1, PRIME, (bands * rows, 2))
     low = heads.select(*scope, "id", F.size("shingles").alias("n"), _registers(bands * rows, pairs)(F.transform("shingles", lambda x: F.pmod(x, F.lit(PRIME)))).alias("signature"))
-    buckets = materialize(low.select("id", "n", F.explode(F.array(*(F.xxhash64(*scope, F.lit(i), F.slice("signature", i * rows + 1, rows)) for i in range(bands)))).alias("bucket")))
+    buckets = materialize(low.select("id", "n", F.explode(F.array(*(F.xxhash64(*scope, *(F.col(c).isNull() for c in scope), F.lit(i), F.slice("signature", i * rows + 1, rows)) for i in range(bands)))).alias("bucket")))
     shared = buckets.groupBy("bucket").agg(F.count("*").alias("c")).where("c > 1").select("bucket")
     one = materialize(buckets.join(shared, "bucket"))
     other = one.select("bucket", F.col("id").alias("id_b"), F.col("n").alias("n_b"))

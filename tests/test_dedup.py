@@ -71,6 +71,13 @@ def test_near_copies_around_the_threshold_against_brute_force(spark):
     assert {x.doc_id for x in dedup.near_duplicates(docs(spark, rows)).where("removed").collect()} == gone
 
 
+def test_a_null_scope_loses_no_row(spark):
+    base = " ".join(f"w{i}" for i in range(200))
+    rows = [(1, None, False, base), (2, None, False, base), (3, None, False, base + " more"), (4, "", False, base), (5, None, None, None), (6, None, None, None)]
+    out = {r.doc_id: r.removed for r in dedup.near_duplicates(docs(spark, rows)).collect()}
+    assert out == {1: False, 2: True, 3: True, 4: False, 5: False, 6: False}
+
+
 def test_signature_estimates_similarity(spark):
     a, b = [f"w{i}" for i in range(300)], [f"w{i}" for i in range(30, 330)]
     s = {r.doc_id: r.signature for r in dedup.signatures(docs(spark, [(1, "s", False, " ".join(a)), (2, "s", False, " ".join(b))]), "normalised").collect()}
