@@ -255,7 +255,7 @@ def fit_mixture(stats: DataFrame, iterations: int = 8, tolerance: float = 1e-3)
     driver gets ``K * (1 + d + d*d)`` numbers per task. On an empty table the seeds alone are the model.
     """
     seeds, labels = _seed()
-    d, live = len(DIMENSIONS), stats.where("n_words > 0 or symbol_ratio > 0").select(*STATS)
+    d, live = len(DIMENSIONS), stats.where("n_words > 0 or symbol_ratio > 0 or digit_ratio > 0").select(*STATS)
 
     def moments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         s = np.zeros(1 + 2 * d)
@@ -321,7 +321,7 @@ def classify(stats: DataFrame, model: dict) -> DataFrame:
             r, _ = _responsibility((_vectors(s) - model["center"]) / model["scale"], model)
             p = r @ of_class
             best = p.argmax(1)
-            blank = (s[:, 1] == 0) & (s[:, 3] == 0)
+            blank = (s[:, 1] == 0) & (s[:, 3] == 0) & (s[:, 4] == 0)
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(np.where(blank, "blank", names[best]).tolist(), pa.string()), pa.array(np.where(blank, 1.0, p.max(1)))], names=[*b.schema.names, "text_class", "class_probability"])
 
     return stats.mapInArrow(run, schema)

@@ -46,6 +46,14 @@ def test_prose_and_the_rest_are_told_apart(spark):
     assert out[len(texts) - 2] == out[len(texts) - 1] == "blank"
 
 
+def test_a_table_of_integers_is_not_blank(spark):
+    numbers = ["\n".join(f"{i * 37 % 1000} {i * 91 % 1000} {i}" for i in range(40)), "4711", "1 2 3 4 5 6 7 8 9"]
+    stats = quality.text_statistics(frame(spark, [*PROSE * 8, *OTHER * 3, *numbers, "\u3000\u00a0 \n"])).cache()
+    out = {r.doc_id: r.text_class for r in quality.not_prose(quality.classify(stats, quality.fit_mixture(stats))).collect()}
+    first = len(PROSE) * 8 + len(OTHER) * 3
+    assert {first, first + 1, first + 2} <= set(out) and first + 3 not in out
+
+
 def test_likelihood_rises(spark):
     x = quality._vectors(quality.statistics([*PROSE, *OTHER] * 5))
     seen = []
