@@ -181,12 +181,13 @@ def fingerprints(df: DataFrame, text: str = "normalised", safe_middle: bool = Fa
     )
 
 
-def fingerprint_dedup(df: DataFrame, text: str = "normalised", id_column: str = "doc_id", tolerance: float = 0.15, rounds: int = 60) -> DataFrame:
+def fingerprint_dedup(df: DataFrame, text: str = "normalised", id_column: str = "doc_id", tolerance: float = 0.15) -> DataFrame:
     """``doc_id, removed``: a document goes if a fingerprint was last kept by a document of nearly the same length.
 
     The scan is ordered, so it runs inside connected components of shared fingerprints. Exact copies share a component:
     they are collapsed to their first row before, since a copy of a kept text goes and a copy of a removed text does
-    too. Components come from label propagation in rounds written to the shared folder.
+    too. Components come from label propagation in rounds written to the shared folder, until no label changes; every round
+    also takes over the label of the label, which shortens long chains.
     """
     keyed = df.where(F.length(text) > 0).select(id_column, F.col(text).alias("__t"))
     keyed = keyed.withColumn("__d", F.md5("__t"))
@@ -196,12 +197,13 @@ def fingerprint_dedup(df: DataFrame, text: str = "normalised", id_column: str =
     shared = long.groupBy("fp").agg(F.count("*").alias("c")).where("c > 1").select("fp")
     edges = materialize(long.join(shared, "fp"))
     label = materialize(edges.select("id").distinct().withColumn("label", F.col("id")))
-    for _ in range(rounds):
+    while True:
         low = edges.join(label, "id").groupBy("fp").agg(F.min("label").alias("low"))
-        after = materialize(edges.join(low, "fp").groupBy("id").agg(F.min("low").alias("label")))
-        changed = after.join(label.withColumnRenamed("label", "old"), "id").where("label <> old").isEmpty()
+        near = materialize(edges.join(low, "fp").groupBy("id").agg(F.min("low").alias("label")))
+        after = materialize(near.join(near.select(F.col("id").alias("label"), F.col("label").alias("further")), "label").select("id", F.least("label", "further").alias("label")))
+        settled = after.join(label.withColumnRenamed("label", "old"), "id").where("label <> old").isEmpty()
         label = after
-        if changed:
+        if settled:
             break
     component = prints.join(label, "id").select("label", "id", "n", "fp_prefix", "fp_suffix", "fp_middle")
 

@@ -109,6 +109,15 @@ def test_fingerprints_against_a_sequential_scan(spark):
     assert {x.doc_id for x in dedup.fingerprint_dedup(df).where("removed").collect()} == sequential(list(enumerate(texts)))
 
 
+def test_a_chain_longer_than_sixty_links_is_one_component(spark):
+    """Neighbours share their beginning or their end in turn. Cut after sixty links, the far end is scanned apart."""
+    r = random.Random(8)
+    part = ["".join(r.choice("abcdef") for _ in range(200)) for _ in range(200)]
+    rows = [(i, part[(i + 1) // 2] + "".join(r.choice("xyz") for _ in range(300)) + part[100 + i // 2]) for i in range(150)]
+    df = spark.createDataFrame(rows, "doc_id bigint, normalised string")
+    assert {x.doc_id for x in dedup.fingerprint_dedup(df).where("removed").collect()} == sequential(rows) == set(range(1, 150, 2))
+
+
 def test_batches(spark):
     parts = [spark.createDataFrame(x, "doc_id bigint, digest string") for x in ([(1, "a"), (2, "a"), (3, "b")], [(4, "b"), (5, "c")], [(6, "c"), (7, None)])]
     assert [sorted(r.doc_id for r in f.collect()) for f in dedup.iterate_batches(parts)] == [[1, 3], [5], [7]]
