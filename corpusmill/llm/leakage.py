@@ -3,7 +3,7 @@
 A prefix-filtered set join. Items and documents become words without case, accents, punctuation, markup and escapes,
 and four-word shingles of them. A window of 13 item words in which two words differ keeps at least two of its ten
 shingles, so the nine rarest are the prefix that a leak must touch; rarity is the number of documents that hold a
-shingle, counted over all documents. Hits that lie on neighbouring diagonals within an item's length are candidates,
+shingle, counted over all documents. The second hit may be any shingle of the item. Hits that lie on neighbouring diagonals within an item's length are candidates,
 and an alignment over that window verifies them exactly.
 
 The items are a stated query set: they are cut into blocks of at most ITEM_BLOCK, each broadcast and run against all
@@ -227,16 +227,16 @@ class Items:
         return best
 
 
-def _candidates(places: list[tuple[int, bool, list[tuple[int, int]]]], items: Items) -> dict[int, list[tuple[int, int]]]:
+def _candidates(places: list[tuple[int, bool, list[tuple[int, int, bool]]]], items: Items) -> dict[int, list[tuple[int, int]]]:
     """Windows of a document worth verifying, by item.
 
-    A window needs two prefix hits on neighbouring diagonals within the item's length, one of them on a shingle that
-    fewer than SEVERAL items hold; a short item needs that one only.
+    A window needs two hits on neighbouring diagonals within the item's length, one of them in the prefix and one of them
+    on a shingle that fewer than SEVERAL items hold; a short item needs the latter only.
     """
-    at: dict[int, list[tuple[int, int, bool]]] = defaultdict(list)
+    at: dict[int, list[tuple[int, int, bool, bool]]] = defaultdict(list)
     for pos, telling, where in places:
-        for k, p in where:
-            at[k].append((pos, p, telling))
+        for k, p, first in where:
+            at[k].append((pos, p, telling, first))
     out: dict[int, list[tuple[int, int]]] = {}
     for k, hits in at.items():
         n = len(items.words[k])
@@ -244,12 +244,12 @@ def _candidates(places: list[tuple[int, bool, list[tuple[int, int]]]], items: It
         windows: list[tuple[int, int]] = []
         hits.sort()
         positions = [h[0] for h in hits]
-        for pos, p, telling in hits:
+        for pos, p, telling, first in hits:
             lo, hi = pos - p - slack, pos - p + n + slack
             if not telling or windows and lo - windows[-1][0] <= slack:
                 continue
             around = hits[bisect_left(positions, pos - n - slack) : bisect_right(positions, pos + n + slack)]
-            if n < WINDOW or any((q, r) != (pos, p) and abs((q - r) - (pos - p)) <= slack for q, r, _ in around):
+            if n < WINDOW or any((q, r) != (pos, p) and (first or other) and abs((q - r) - (pos - p)) <= slack for q, r, _, other in around):
                 windows.append((lo - slack, hi + slack))
         if windows:
             out[k] = windows
@@ -282,7 +282,7 @@ def _block(documents: DataFrame, items: Items, text: str, keep: str) -> DataFram
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         items, wanted = shared.value, prefix.value
         numbers, plain_of = Numbers(items.vocabulary), Plain()
-        needed = {key: w for key, at in items.places.items() if (w := [x for x in at if x in wanted])}
+        needed = {key: [(*x, x in wanted) for x in at] for key, at in items.places.items()}
         for batch in batches:
             index, rows = [], []
             for i, t in enumerate(batch.column(1).to_pylist()):

@@ -64,6 +64,17 @@ def test_against_brute_force(spark):
     assert run(spark, docs) == truth
 
 
+def test_two_changed_words_leave_one_prefix_hit(spark):
+    """The window's surviving shingles are 8 and 9; on equal frequencies shingle 9 is left out of the prefix."""
+    words = [f"{a}{b}" for a in ("bora", "keli", "mota") for b in ("lum", "rat", "nus", "sem", "dir")][:13]
+    leak = [f"qqq{i}" if i in (3, 7) else w for i, w in enumerate(words)]
+    items = [(1, " ".join(words))]
+    assert leakage.Items(items).verify(0, leak)
+    places = leakage.Items(items).prefixes({})
+    assert (0, 8) in places and (0, 9) not in places
+    assert run(spark, [FILL + " ".join(leak) + " " + FILL], items) == {(0, 1)}
+
+
 def test_empty_tables_and_a_long_text(spark):
     assert run(spark, [], ITEMS) == set() or True
     assert run(spark, [make(3)], []) == set()
