@@ -140,24 +140,27 @@ def piece_tokens(counted: DataFrame, tokenizer: Tokenizer) -> DataFrame:
 
 
 def token_counts(documents: DataFrame, tokenizer: Tokenizer, text: str = "text", id_column: str = "doc_id") -> DataFrame:
-    """``doc_id, tokens`` of every document whose text has a piece."""
-    exploded = documents.where(F.col(text).isNotNull()).select(id_column, F.explode(pieces(F.col(text))).alias("piece"))
+    """``doc_id, digest, tokens`` of every text that has a piece; rows of one id and text are one row here."""
+    key = [id_column, "digest"]
+    exploded = documents.where(F.col(text).isNotNull()).select(id_column, F.xxhash64(text).alias("digest"), F.posexplode(pieces(F.col(text))).alias("at", "piece"))
     table = materialize(piece_tokens(exploded.groupBy("piece").agg(F.count("*").alias("n")), tokenizer))
     head = table.orderBy(F.desc("n"), "piece").limit(HEAD).select("piece", F.col("tokens").alias("head_tokens"))
     rest = F.when(F.col("head_tokens").isNull(), F.col("piece")).alias("rest")
     # a document's frequent pieces fold into one row before anything is shuffled
-    parts = exploded.join(F.broadcast(head), "piece", "left").groupBy(id_column, rest).agg(F.sum("head_tokens").alias("known"), F.count("*").alias("times"))
+    parts = exploded.join(F.broadcast(head), "piece", "left").groupBy(*key, rest).agg(F.sum("head_tokens").alias("known"), F.count("*").alias("times"), F.count_if(F.col("at") == 0).alias("rows"))
     parts = materialize(parts)
-    tail = parts.where("rest is not null").select(id_column, F.col("rest").alias("piece"), "times").join(table.select("piece", "tokens"), "piece")
-    both = parts.where("rest is null").select(id_column, F.col("known").alias("tokens")).unionByName(tail.select(id_column, (F.col("times") * F.col("tokens")).alias("tokens")))
-    return both.groupBy(id_column).agg(F.sum("tokens").alias("tokens"))
+    tail = parts.where("rest is not null").select(*key, F.col("rest").alias("piece"), "times", "rows").join(table.select("piece", "tokens"), "piece")
+    both = parts.where("rest is null").select(*key, F.col("known").alias("tokens"), "rows").unionByName(tail.select(*key, (F.col("times") * F.col("tokens")).alias("tokens"), "rows"))
+    # every row has one first piece, so their number is the number of equal rows
+    return both.groupBy(*key).agg((F.sum("tokens") / F.sum("rows")).cast("bigint").alias("tokens"))
 
 
 def with_tokens(documents: DataFrame, tokenizer: Tokenizer, columns: list[str], text: str = "text", id_column: str = "doc_id") -> DataFrame:
     """``doc_id``, the given columns, ``n_chars`` of the text and ``n_tokens``."""
-    base = documents.select(id_column, *columns, F.length(text).cast("bigint").alias("n_chars"))
-    joined = base.join(token_counts(documents, tokenizer, text, id_column), id_column, "left")
-    return joined.select(id_column, *columns, "n_chars", F.when(F.col("n_chars").isNotNull(), F.coalesce("tokens", F.lit(0))).alias("n_tokens"))
+    base = documents.select(id_column, *columns, F.length(text).cast("bigint").alias("n_chars"), F.xxhash64(text).alias("__digest"))
+    counts = token_counts(documents, tokenizer, text, id_column).select(F.col(id_column).alias("__id"), F.col("digest").alias("__of"), F.col("tokens").alias("__tokens"))
+    joined = base.join(counts, F.col(id_column).eqNullSafe(F.col("__id")) & (F.col("__digest") == F.col("__of")), "left")
+    return joined.select(id_column, *columns, "n_chars", F.when(F.col("n_chars").isNotNull(), F.coalesce("__tokens", F.lit(0))).alias("n_tokens"))
 
 
 def domain_name(c: Column) -> Column:

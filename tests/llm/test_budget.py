@@ -62,6 +62,14 @@ def test_documents_agree_with_the_library(spark, tables, library):
     assert budget.with_tokens(docs.limit(0), budget.load(vocabulary, merges), []).count() == 0
 
 
+def test_repeated_rows_and_null_ids_count_each(spark, tables, library):
+    rows = [(1, CORPUS), (1, CORPUS), (1, "the bridge"), (1, None), (1, ""), (None, "a bell"), (None, "a bell"), (None, CORPUS), (2, "the bridge")]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    vocabulary, merges = spark.createDataFrame(tables[0], "token_id int, token string"), spark.createDataFrame(tables[1], "merge_rank int, left_piece string, right_piece string")
+    out = [(x.doc_id, x.n_chars, x.n_tokens) for x in budget.with_tokens(docs, budget.load(vocabulary, merges), []).collect()]
+    assert sorted(out, key=str) == sorted([(i, t if t is None else len(t), t if t is None else len(library.encode(t).ids)) for i, t in rows], key=str)
+
+
 def test_totals(spark):
     df = spark.createDataFrame([("a", 3, 1), ("a", None, None), (None, 5, 2)], "source string, n_chars bigint, n_tokens bigint")
     assert sorted((tuple(r) for r in budget.totals(df, "source").collect()), key=str) == sorted([("a", 2, 3, 1), (None, 1, 5, 2)], key=str)
