@@ -19,6 +19,9 @@ def file(r, kind):
         return body + 'void p(void) { puts("/* Code generated by x. DO NOT EDIT. */"); }\n', "src/q.c"
     if kind == "told":
         return f"/* Code generated by tool{r.choice('abcd')} v{r.randint(1, 9)}.1. DO NOT EDIT. */\n" + body, r.choice(["src/a.c", None])
+    if kind == "worded":
+        path = r.choice(["vendor/zorb/x.c", "dist/y.c", "src/a.c", None, None, "lib/b.c"])
+        return f"/* put together with {''.join(r.choice('abdeors') for _ in range(7))} out of {r.choice(NOUNS)}.q, leave it alone */\n" + body, path
     if kind == "data":
         return "unsigned char d[] = {\n" + "".join("    " + ", ".join(f"0x{r.randint(0, 255):02x}" for _ in range(12)) + ",\n" for _ in range(30)) + "};\n", None
     if kind == "minified":
@@ -29,7 +32,7 @@ def file(r, kind):
 @pytest.fixture(scope="module")
 def corpus(spark):
     r = random.Random(11)
-    kinds = [r.choice(["hand"] * 6 + ["quoting", "told", "data", "minified", "copied"]) for _ in range(700)]
+    kinds = [r.choice(["hand"] * 6 + ["quoting", "told", "worded", "data", "minified", "copied"]) for _ in range(700)]
     rows = [(i, *file(r, k), f"owner/repo{r.randint(0, 40)}", k) for i, k in enumerate(kinds)]
     return spark.createDataFrame(rows, "doc_id bigint, text string, file_path string, domain string, score string"), kinds
 
@@ -53,6 +56,34 @@ def test_forms_are_learned_where_headers_are_masked(model):
         assert all(s > 0 for s in P.scores(*map(list, zip(*(file(r, kind) for _ in range(10)))), model))
 
 
+def test_bodies_are_scored_without_comments(model):
+    r = random.Random(5)
+    body = file(r, "hand")[0]
+    said = "/* Code generated by toolb v3.1. DO NOT EDIT. */\n" + body
+    assert P.scores([said], [None], model) == P.scores([body], [None], model)
+    assert P.LineScores(model).of([said])[0] > 0 > P.LineScores(model).of([body])[0]
+
+
+def test_announcements_in_words_of_no_list_are_learned(model):
+    r = random.Random(6)
+    lines = P.LineScores(model)
+    found = lines.of([file(r, "worded")[0] for _ in range(50)])
+    assert not any(P.announces(x) for x in P.comment_lines(file(r, "worded")[0]))
+    assert (found > 0).mean() > 0.9
+    assert (lines.of([file(r, "hand")[0] for _ in range(50)]) > 0).mean() == 0
+
+
+def test_a_remark_about_generation_announces_nothing():
+    assert P.announces("This file is automatically generated from a.idl") and P.announces("@generated by x") and P.announces("Autogenerato da x")
+    assert not P.announces("This table was auto-generated once; it is maintained by hand now.")
+    assert not P.announces("reports are generated by the nightly job") and not P.announces("un tempo generato automaticamente, ora scritto a mano")
+
+
+def test_one_kind_of_label_alone_finds_nothing(spark):
+    df = spark.createDataFrame([(i, f"int a{i}(int b) {{ return b + {i}; }}\n/* plain */\n", None, "r") for i in range(40)], "doc_id bigint, text string, file_path string, domain string")
+    assert P.score(df, P.fit(df)).where("not by_hand").count() == 0
+
+
 def test_frames(spark, model):
     df = spark.createDataFrame([(1, None, "vendor/x/a.c"), (2, "", None), (3, " ", "vendor/x/a.c"), (4, "int a;\n" * 50_000, None), (4, "int a;\n" * 50_000, None)], "doc_id bigint, text string, file_path string")
     rows = sorted((r.doc_id, r.by_hand) for r in P.score(df, model).collect())
