@@ -1,8 +1,8 @@
 """Problem 2: statistics of each text, and the documents that are not natural prose.
 
 ``text_statistics`` gives one row per document. ``fit_mixture`` fits a Gaussian mixture to the standardised statistics
-of *all* documents by expectation-maximisation: every iteration is one distributed pass that returns K sufficient
-statistics per partition. Components start from the inspected examples of ``EXAMPLES`` and are named after the examples
+of *all* documents by expectation-maximisation: every iteration is one job that adds the tasks' sufficient statistics up
+in the cluster. Components start from the inspected examples of ``EXAMPLES`` and are named after the examples
 that fall into them. ``classify`` gives the class and its probability.
 
 Defined results: null and blank texts get zero statistics and the class ``blank``; repeated rows get equal results;
@@ -248,11 +248,20 @@ def _matrix(batch: pa.RecordBatch) -> np.ndarray:
     return np.column_stack([batch.column(c).to_numpy(zero_copy_only=False) for c in STATS])
 
 
+def _added(parts: DataFrame) -> np.ndarray:
+    """Sum of the arrays ``s`` of all tasks, place by place: one job, and the driver gets one number a place."""
+    rows = parts.select(F.posexplode("s").alias("at", "v")).groupBy("at").agg(F.sum("v").alias("v")).collect()
+    out = np.zeros(len(rows))
+    for r in rows:
+        out[r["at"]] = r["v"]
+    return out
+
+
 def fit_mixture(stats: DataFrame, iterations: int = 8, tolerance: float = 1e-3) -> dict:
     """Mixture over the standardised statistics of all rows that are not blank.
 
-    One pass for mean and scale, then one per iteration; each task returns one record of sufficient statistics, so the
-    driver gets ``K * (1 + d + d*d)`` numbers per task. On an empty table the seeds alone are the model.
+    One job for mean and scale, then one per iteration; the sufficient statistics of the tasks are added up in the
+    cluster, so the driver gets ``K * (1 + d + d*d)`` numbers an iteration. On an empty table the seeds alone are the model.
     """
     seeds, labels = _seed()
     d, live = len(DIMENSIONS), stats.where("n_words > 0 or symbol_ratio > 0 or digit_ratio > 0").select(*STATS)
@@ -264,7 +273,8 @@ def fit_mixture(stats: DataFrame, iterations: int = 8, tolerance: float = 1e-3)
             s += np.concatenate([[len(x)], x.sum(0), (x * x).sum(0)])
         yield pa.RecordBatch.from_arrays([pa.array([s.tolist()], pa.list_(pa.float64()))], names=["s"])
 
-    s = sum((np.array(r.s) for r in live.mapInArrow(moments, "s array<double>").toLocalIterator()), np.zeros(1 + 2 * d))
+    s = _added(live.mapInArrow(moments, "s array<double>"))
+    s = s if len(s) else np.zeros(1 + 2 * d)
     s += np.concatenate([[len(seeds)], seeds.sum(0), (seeds * seeds).sum(0)])
     center = s[1 : 1 + d] / s[0]
     scale = np.sqrt(np.maximum(s[1 + d :] / s[0] - center**2, 1e-4))
@@ -286,7 +296,8 @@ def fit_mixture(stats: DataFrame, iterations: int = 8, tolerance: float = 1e-3)
                 total[:, 1 + d :] += r.T @ (x[:, :, None] * x[:, None, :]).reshape(len(x), -1)
             yield pa.RecordBatch.from_arrays([pa.array([[like, *total.ravel()]], pa.list_(pa.float64()))], names=["s"])
 
-        got = sum((np.array(r.s) for r in live.mapInArrow(gather, "s array<double>").toLocalIterator()), np.zeros(1 + len(z) * (1 + d + d * d)))
+        got = _added(live.mapInArrow(gather, "s array<double>"))
+        got = got if len(got) else np.zeros(1 + len(z) * (1 + d + d * d))
         like, total = got[0] / s[0], got[1:].reshape(len(z), -1)
         # one pseudo-row at the seed with a round covariance keeps rare components in place
         n = total[:, 0] + 1
@@ -328,5 +339,5 @@ def classify(stats: DataFrame, model: dict) -> DataFrame:
 
 
 def not_prose(classified: DataFrame) -> DataFrame:
-    """Rows of a class other than prose, less those where an exact count finds most characters in running prose."""
-    return classified.where("text_class not in ('prose', 'blank') and prose_share < 0.5")
+    """Rows that the mixture gives a class other than prose."""
+    return classified.where("text_class not in ('prose', 'blank')")

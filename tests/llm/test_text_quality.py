@@ -68,3 +68,22 @@ def test_empty_table_and_long_text(spark):
     empty = quality.text_statistics(frame(spark, ["x"]).limit(0))
     assert quality.classify(empty, quality.fit_mixture(empty)).count() == 0
     assert quality.statistics(["the bridge was closed. " * 100_000])[0, 0] == 2_300_000
+
+
+def test_every_pass_is_one_job_whatever_the_partitions(spark):
+    stats = quality.text_statistics(frame(spark, [*PROSE, *OTHER] * 5)).repartition(12).cache()
+    stats.count()
+    tracker = spark.sparkContext.statusTracker()
+
+    def jobs(iterations):
+        group = f"passes {iterations}"
+        spark.sparkContext.setJobGroup(group, group)
+        quality.fit_mixture(stats, iterations=iterations, tolerance=0)
+        return len(tracker.getJobIdsForGroup(group))
+
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        assert jobs(5) - jobs(2) == 3
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+        spark.sparkContext.setJobGroup("", "")
