@@ -1,10 +1,14 @@
 """Problem 4: the language of each document and of each passage, with a confidence.
 
 A document is a mixture of languages. Its pieces (sentences, or lines where sentences have no ends) get a likelihood
-under every language from hashed letter trigrams, words and scripts; expectation-maximisation estimates the document's
-proportions, and a language stays in the document's set only if it raises the likelihood by more than a penalty.
-The n-gram model starts from short lists of function words and is refined on a bounded sample of the corpus itself,
-whose delivered labels are not trusted.
+under every language from hashed letter trigrams, words and scripts. Expectation-maximisation estimates the document's
+proportions. The document's set of languages is then chosen by penalised likelihood: from the smallest share up, a
+language goes unless the mixture without it, its proportions fitted again, is less likely by more than PENALTY. Pieces
+take their language from the mixture over that set; a run of pieces that is no passage of two sentences joins a
+neighbour, and the choice is repeated over the languages that still have a passage. The n-gram model starts from short
+lists of function words and is refined on a bounded sample of the corpus itself, whose delivered labels are not trusted.
+
+A passage in a language outside the model is ``und``: its letters or most of its words are unknown to the nearest one.
 
 Defined results: null and blank texts give no row; a text without letters gives language ``und`` and confidence 0;
 repeated rows get equal results; an empty table gives an empty table.
@@ -12,6 +16,7 @@ repeated rows get equal results; an empty table gives an empty table.
 
 from __future__ import annotations
 
+import heapq
 import re
 from collections.abc import Iterator
 from functools import lru_cache
@@ -38,6 +43,10 @@ BUCKETS = 1 << 16
 SAMPLE_PER_LABEL = 120
 SAMPLE_CHARS = 6000
 PENALTY = 20.0
+#: Signs of a language outside the model: the share of words that the nearest language knows, the share of letters that
+#: no modelled language of the script has; decided from so many words and letters on.
+KNOWN_SHARE, FOREIGN_SHARE, DECIDING_WORDS, DECIDING_LETTERS = 0.25, 0.015, 12, 40
+_FOREIGN = "іїєґўђјљњћџѓќѕқғңөүұһәӣӯҳҷ" + "پچژگکیٹڈڑںےۆۇېە" + "łąężźćńśőűğıčřůňěťďļņģķėųįūāēīåøæðþœ".replace("œ", "")
 #: Signs without width inside words.
 HIDDEN = re.compile("[\u00ad\u200b-\u200d\u2060\ufeff]")
 LONG = 90
@@ -66,6 +75,13 @@ def _script_likelihood() -> np.ndarray:
     return np.log(p)
 
 
+@lru_cache(1)
+def _foreign_table() -> np.ndarray:
+    t = np.zeros(0x10001, bool)
+    t[[ord(c) for c in _FOREIGN + _FOREIGN.upper() if len(c) == 1 and c not in "Iİ"]] = True
+    return t
+
+
 def normalised_label(label: Column) -> Column:
     """Two-letter code of a label in any spelling; null where it is missing, a placeholder or no language known here."""
     key = F.regexp_extract(F.lower(F.trim(label)), r"^([\p{L}]+)", 1)
@@ -108,6 +124,7 @@ class Pieces:
         at = np.flatnonzero(letter)
         piece = np.repeat(np.arange(p), self.letters)
         script = _script_table()[low[at]]
+        self.foreign = np.bincount(piece, _foreign_table()[low[at]], minlength=p)
         self.scripts = np.bincount(piece * (len(SCRIPTS) + 1) + script, minlength=p * (len(SCRIPTS) + 1)).reshape(p, len(SCRIPTS) + 1)
         # of every Latin word: the trigrams at both edges, the last three letters, and the word itself
         latin = letter & (low < 0x250)
@@ -133,6 +150,14 @@ class Pieces:
         return out
 
 
+    def known(self, model: np.ndarray, best: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Latin words of every piece that the piece's language knows better than others, and all of them."""
+        piece = np.repeat(np.arange(len(self.lo)), self.to_word - self.from_word)
+        word = np.arange(len(piece)) + np.repeat(self.from_word - np.cumsum(self.to_word - self.from_word) + (self.to_word - self.from_word), self.to_word - self.from_word)
+        own = model[self.features[word, 3], np.minimum(best[piece], len(LATIN) - 1)] > 0.3
+        return np.bincount(piece, own, minlength=len(self.lo)), np.bincount(piece, minlength=len(self.lo))
+
+
 def _tables(counts: np.ndarray) -> np.ndarray:
     """Log likelihood ratios against the mean of the languages, for trigrams and words apart."""
     out = np.zeros_like(counts, np.float32)
@@ -164,7 +189,7 @@ def fit_ngrams(documents: DataFrame, text: str = "text", label: str = "lang", pe
     for lang, n in sizes.items():
         rate = F.when(F.col("l") == lang, F.lit(min(1.0, per_label / n))).otherwise(rate)
     draw = F.pmod(F.xxhash64("t"), F.lit(1_000_000)) < rate * 1_000_000
-    texts = sorted(r.t for r in known.where(draw).select("t").toLocalIterator())
+    texts = sorted(r.t for r in known.where(draw).select("t").collect())
     counts = _seed_counts()
     model = _tables(counts)
     if not texts:
@@ -191,54 +216,138 @@ def fit_ngrams(documents: DataFrame, text: str = "text", label: str = "lang", pe
     return model
 
 
-def proportions(ll: np.ndarray, row: np.ndarray, weight: np.ndarray, rows: int, iterations: int = 12) -> np.ndarray:
-    """Proportions of the languages in every row by expectation-maximisation over its pieces."""
-    share = np.full((rows, ll.shape[1]), 1 / ll.shape[1])
-    like = np.exp(np.maximum(ll - ll.max(1, keepdims=True), -60))
-    first = np.flatnonzero(np.concatenate([[True], row[1:] != row[:-1]])) if len(row) else row
+def _fit(like: np.ndarray, share: np.ndarray, row: np.ndarray, first: np.ndarray, weight: np.ndarray, iterations: int) -> np.ndarray:
+    """Proportions per document (``share``, one row for each entry of ``first``) by expectation-maximisation."""
     for _ in range(iterations):
         r = share[row] * like
         r *= (weight / np.maximum(r.sum(1), 1e-300))[:, None]
-        got = np.add.reduceat(r, first, 0) if len(row) else r
-        share[row[first]] = (got + 1e-6) / (got.sum(1, keepdims=True) + 1e-6 * ll.shape[1])
+        got = np.add.reduceat(r, first, 0)
+        share = (got + 1e-6) * (share > 0)
+        share /= np.maximum(share.sum(1, keepdims=True), 1e-300)
     return share
 
 
-def _passages(lang: list[int], ll: list[list[float]], letters: list[int], ended: list[bool]) -> list[int]:
-    """Language of each piece of one text, once the languages that do not earn their penalty are merged away."""
-    lines_end = sum(ended) < 0.25 * len(ended)
+def _likelihood(like: np.ndarray, share: np.ndarray, row: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """Log likelihood of every document's pieces under its mixture."""
+    return np.add.reduceat(np.log(np.maximum((share[row] * like).sum(1), 1e-300)), first)
+
+
+def choose(like: np.ndarray, share: np.ndarray, row: np.ndarray, first: np.ndarray, weight: np.ndarray) -> np.ndarray:
+    """Proportions over the set of penalised likelihood: backward from the smallest share, all documents side by side.
+
+    Every language of a document is tried once; a trial refits the proportions of the others.
+    """
+    untried = share > 0
+    base = _likelihood(like, share, row, first)
+    count = np.diff(np.concatenate([first, [len(row)]]))
     while True:
-        size: dict[int, int] = {}
-        for k, n in zip(lang, letters):
-            size[k] = size.get(k, 0) + n
-        if len(size) < 2:
-            return lang
-        # runs of one language; a run needs two sentences, or falls to its neighbours
-        weak, lo = None, 0
-        for hi in range(1, len(lang) + 1):
-            if hi < len(lang) and lang[hi] == lang[lo]:
+        trial = np.flatnonzero(((share > 0).sum(1) > 1) & untried.any(1))
+        if not len(trial):
+            return share
+        part = np.concatenate([np.arange(first[i], first[i] + count[i]) for i in trial])
+        local, start = np.repeat(np.arange(len(trial)), count[trial]), np.concatenate([[0], np.cumsum(count[trial])[:-1]])
+        k = np.where(untried[trial], share[trial], np.inf).argmin(1)
+        without = share[trial].copy()
+        without[np.arange(len(trial)), k] = 0
+        without /= without.sum(1, keepdims=True)
+        without = _fit(like[part], without, local, start, weight[part], 4)
+        other = _likelihood(like[part], without, local, start)
+        untried[trial, k] = False
+        drop = base[trial] - other < PENALTY
+        share[trial[drop]], base[trial[drop]] = without[drop], other[drop]
+        untried &= share > 0
+
+
+class Runs:
+    """Runs of one language in one text; those that are no passage join a neighbour, the smallest first."""
+
+    def __init__(self, lang: np.ndarray, ll: np.ndarray, letters: np.ndarray, ended: np.ndarray):
+        total = lambda x: np.concatenate([np.zeros((1, *x.shape[1:]), x.dtype), np.cumsum(x, 0)])
+        self.lang, self.letters, self.ended = lang, letters, ended
+        self.c_letters, self.c_ll = total(letters), total(ll)
+        counted = ended | (ended.sum() < 0.25 * len(ended))
+        # a Chinese or Japanese sign holds about as much as three letters
+        self.c_sentences = {d: total(((letters * d >= 12) & counted).astype(np.int64)) for d in (1, 3)}
+
+    def weak(self, lo: int, hi: int, k: int) -> bool:
+        """Whether a run is less than two sentences."""
+        dense = 3 if LANGUAGES[k] in ("zh", "ja") else 1
+        n = int(self.c_letters[hi] - self.c_letters[lo]) * dense
+        sentences = int(self.c_sentences[dense][hi] - self.c_sentences[dense][lo]) + int(not self.ended[hi - 1] and self.letters[hi - 1] * dense >= 12 and hi - lo > 1)
+        return n < 40 or max(sentences, n // (50 if LANGUAGES[k] == "th" else 90)) < 2
+
+    def settle(self) -> np.ndarray:
+        """Language of each piece once every run is a passage, or one run is left: n log n in the runs."""
+        lang = self.lang
+        edge = np.flatnonzero(np.concatenate([[True], lang[1:] != lang[:-1]]))
+        begin = edge.tolist()
+        end = edge[1:].tolist() + [len(lang)]
+        kind = lang[edge].tolist()
+        before, after = list(range(-1, len(begin) - 1)), [*range(1, len(begin)), -1]
+        live = [True] * len(begin)
+        size = lambda i: int(self.c_letters[end[i]] - self.c_letters[begin[i]])
+        heap = [(size(i), begin[i], i, end[i]) for i in range(len(begin)) if self.weak(begin[i], end[i], kind[i])]
+        heapq.heapify(heap)
+        while heap:
+            _, lo, i, hi = heapq.heappop(heap)
+            if not live[i] or (begin[i], end[i]) != (lo, hi) or before[i] < 0 and after[i] < 0:
                 continue
-            n = sum(letters[lo:hi])
-            dense = 3 if LANGUAGES[lang[lo]] in ("zh", "ja") else 1  # a sign holds about as much as three letters
-            if weak is None or n < weak[0]:
-                sentences = sum(letters[i] * dense >= 12 and (lines_end or ended[i]) for i in range(lo, hi)) + (not ended[hi - 1] and letters[hi - 1] * dense >= 12 and hi - lo > 1)
-                if n * dense < 40 or max(sentences, n * dense // (50 if LANGUAGES[lang[lo]] == "th" else 90)) < 2:
-                    weak = (n, lo, hi)
-            lo = hi
-        if weak:
-            _, lo, hi = weak
-            sides = {lang[i] for i in (lo - 1, hi) if 0 <= i < len(lang)}
-            lang[lo:hi] = [max(sides, key=lambda k: sum(ll[i][k] for i in range(lo, hi)))] * (hi - lo)
-            continue
-        for k in sorted(size, key=size.get)[:-1]:
-            own = [i for i, x in enumerate(lang) if x == k]
-            others = [x for x in size if x != k]
-            if sum(ll[i][k] - max(ll[i][x] for x in others) for i in own) < PENALTY:
-                for i in own:
-                    lang[i] = max(others, key=lambda x: ll[i][x])
-                break
-        else:
-            return lang
+            sides = [j for j in (before[i], after[i]) if j >= 0]
+            own = self.c_ll[hi] - self.c_ll[lo]
+            kind[i] = max((kind[j] for j in sides), key=lambda k: own[k])
+            for j in sides:
+                if kind[j] == kind[i]:
+                    live[j] = False
+                    begin[i], end[i] = min(begin[i], begin[j]), max(end[i], end[j])
+                    if j == before[i]:
+                        before[i] = before[j]
+                        if before[j] >= 0:
+                            after[before[j]] = i
+                    else:
+                        after[i] = after[j]
+                        if after[j] >= 0:
+                            before[after[j]] = i
+            if self.weak(begin[i], end[i], kind[i]):
+                heapq.heappush(heap, (size(i), begin[i], i, end[i]))
+        out = np.empty(len(lang), np.int64)
+        for i, alive in enumerate(live):
+            if alive:
+                out[begin[i] : end[i]] = kind[i]
+        return out
+
+
+def _languages(p: Pieces, ll: np.ndarray) -> np.ndarray:
+    """Language of every piece of a block."""
+    first = np.flatnonzero(np.concatenate([[True], p.row[1:] != p.row[:-1]]))
+    count = np.diff(np.concatenate([first, [len(p.row)]]))
+    row = np.repeat(np.arange(len(first)), count)
+    like = np.exp(np.maximum(ll - ll.max(1, keepdims=True), -60))
+    weight = np.minimum(p.letters, 200).astype(float)
+    share = _fit(like, np.full((len(first), ll.shape[1]), 1 / ll.shape[1]), row, first, weight, 12)
+    best = (np.log(np.maximum(share[row], 1e-9)) + ll).argmax(1)
+    pending = np.flatnonzero(np.maximum.reduceat(best, first) != np.minimum.reduceat(best, first))
+    held = np.zeros(share.shape, bool)
+    held[row, best] = True
+    while len(pending):
+        part = np.concatenate([np.arange(first[i], first[i] + count[i]) for i in pending])
+        local, start = np.repeat(np.arange(len(pending)), count[pending]), np.concatenate([[0], np.cumsum(count[pending])[:-1]])
+        s = np.where(held[pending], np.maximum(share[pending], 1e-9), 0)
+        s = choose(like[part], s / s.sum(1, keepdims=True), local, start, weight[part])
+        best[part] = np.where(s[local] > 0, np.log(np.maximum(s[local], 1e-9)) + ll[part], -np.inf).argmax(1)
+        share[pending] = s
+        again = []
+        for i in pending:
+            lo, hi = first[i], first[i] + count[i]
+            if (best[lo:hi] != best[lo]).any():
+                best[lo:hi] = Runs(best[lo:hi], ll[lo:hi], p.letters[lo:hi], p.ended[lo:hi]).settle()
+            now = np.zeros(share.shape[1], bool)
+            now[best[lo:hi]] = True
+            # fewer languages than the mixture has: their choice is repeated without those that have no passage
+            if 1 < now.sum() < (share[i] > 0).sum():
+                again.append(i)
+            held[i] = now
+        pending = np.array(again, np.int64)
+    return best
 
 
 def passages_of(texts: list[str], model: np.ndarray) -> list[list[tuple[int, int, str, float]]]:
@@ -246,30 +355,23 @@ def passages_of(texts: list[str], model: np.ndarray) -> list[list[tuple[int, int
     hidden = {i for i, t in enumerate(texts) if not t.isascii() and HIDDEN.search(t)}
     p = Pieces([HIDDEN.sub("", t) if i in hidden else t for i, t in enumerate(texts)])
     out: list[list[tuple[int, int, str, float]]] = [[] for _ in texts]
-    ll = p.score(model)
     if len(p.lo):
-        share = proportions(ll, p.row, np.minimum(p.letters, 200).astype(float), len(texts))
-        post = np.log(np.maximum(share[p.row], 1e-9)) + ll
-        best = post.argmax(1)
-        first = np.flatnonzero(np.concatenate([[True], p.row[1:] != p.row[:-1]]))
-        last = np.concatenate([first[1:], [len(p.row)]])
-        mixed = np.maximum.reduceat(best, first) != np.minimum.reduceat(best, first)
-
-        def confidence(lo: np.ndarray, lang: np.ndarray) -> np.ndarray:
-            """Posterior of the runs that begin at ``lo``, softened by length: neighbouring n-grams repeat evidence."""
-            total = np.add.reduceat(ll, lo, 0) / np.maximum(1.0, np.sqrt(np.add.reduceat(p.letters, lo) / 12))[:, None]
-            e = np.exp(total - total.max(1, keepdims=True))
-            return e[np.arange(len(lo)), lang] / e.sum(1)
-
-        for i in np.flatnonzero(mixed):
-            lo, hi = first[i], last[i]
-            best[lo:hi] = _passages(best[lo:hi].tolist(), ll[lo:hi].tolist(), p.letters[lo:hi].tolist(), p.ended[lo:hi].tolist())
+        ll = p.score(model)
+        best = _languages(p, ll)
         begin = np.flatnonzero(np.concatenate([[True], (p.row[1:] != p.row[:-1]) | (best[1:] != best[:-1])]))
         end = np.concatenate([begin[1:], [len(best)]]) - 1
-        sure = confidence(begin, best[begin])
+        # posterior of each passage, softened by length: neighbouring n-grams repeat evidence
+        letters = np.add.reduceat(p.letters, begin)
+        total = np.add.reduceat(ll, begin, 0) / np.maximum(1.0, np.sqrt(letters / 12))[:, None]
+        e = np.exp(total - total.max(1, keepdims=True))
+        sure = e[np.arange(len(begin)), best[begin]] / e.sum(1)
+        unknown = (letters >= DECIDING_LETTERS) & (np.add.reduceat(p.foreign, begin) > FOREIGN_SHARE * letters)
+        known, of = p.known(model, best)
+        known, of = np.add.reduceat(known, begin), np.add.reduceat(of, begin)
+        unknown |= (best[begin] < len(LATIN)) & (of >= DECIDING_WORDS) & (known < KNOWN_SHARE * of)
         base = p.block.start[p.row[begin]]
-        for row, lo, hi, k, c in zip(p.row[begin].tolist(), (p.lo[begin] - base).tolist(), (p.hi[end] - base).tolist(), best[begin].tolist(), sure.tolist()):
-            out[row].append((lo, hi, LANGUAGES[k], c))
+        for row, lo, hi, k, c, u in zip(p.row[begin].tolist(), (p.lo[begin] - base).tolist(), (p.hi[end] - base).tolist(), best[begin].tolist(), sure.tolist(), unknown.tolist()):
+            out[row].append((lo, hi, "und", 0.0) if u else (lo, hi, LANGUAGES[k], c))
     for i in hidden:  # back to places in the text as delivered
         kept = [k for k, c in enumerate(texts[i]) if not HIDDEN.match(c)] + [len(texts[i])]
         out[i] = [(kept[lo], kept[hi], lang, c) for lo, hi, lang, c in out[i]]
