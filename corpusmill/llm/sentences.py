@@ -21,21 +21,25 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from corpusmill.llm import lexicon
 from corpusmill.llm.blocks import cut
 
 #: Abbreviations after which no sentence ends: titles, references, units before figures.
 NEVER = """sig sigg sig.ra sig.na dott dott.ssa dr dra prof prof.ssa ing arch avv geom rag cav mons comm col gen capt sgt lt magg cfr cf vgl v ej es ed edd mr mrs ms messrs st ste rev hon fr
 hr bldg rm apt ave dept i.e e.g viz vs approx ca c.a circa env bd av al m mm mme mlle mgr pr abbé sr sra srta d dña da dn ud uds sres avda av.da c.so v.le p.za p.zza l.go s.a.r.l
 ee bzw z z.b d.h u.a u.s.w.x evtl ggf med jur rer phil nat abs ziff kap mio mrd co dl dna dlui проф г-н г-жа см стр рис табл им ул акад доц гл т д.р σελ βλ κ κκ κα δρ αρ ص د أ م डॉ
-सं श्री पृ प्रो सेंट e t.d ss s.s ph gr ibid bahnhofstr""".split()
+सं श्री पृ प्रो सेंट e t.d ss s.s ph gr ibid""".split()
 #: Abbreviations of references: a figure or a small letter goes on, a capital that is no numeral begins a sentence.
 NUMBER = """no nn n nr núm num art artt par ex ext int fig figg tab tabb vol voll eq eqs sec cap p pp pag pagg pág págs sez tel str""".split()
 #: Abbreviations that may end a sentence: one ends if a capital, a figure or a quotation follows.
 MAYBE = """ecc etc usw s.p.a s.r.l s.n.c inc ltd corp bros jr sr.x a.c d.c p.m a.m a.d b.c u.n u.s u.s.a u.k p.v c.m u.s gg lb oz kg km cm h min sq rd ltda s.a uu gmbh ag kg st.x s jh jhd ff f uhr izq dcha г гг в вв д др руб тыс млн π.χ μ.χ κ.λπ κ.ά p.s n.b ș.a.m.d lei r.l dic sept lun mar mer gio ven sab dom mon tue wed thu fri sat sun jan feb apr jun jul aug oct nov dec gen giu lug ago set ott""".split()
 #: Words before a capital letter that make the letter a name of a part, not an initial.
 PART = frozenset("scala scale interno int blocco block lotto classe class tipo type serie vitamina vitamin appendice appendix section sezione gruppo group level livello reparto padiglione binario gate hall wing aula sala corte".split())
-#: Capitalised words that open a German sentence; after an ordinal other capitals are nouns.
-GERMAN_OPENERS = frozenset("Der Die Das Am Im In Es Er Sie Wir Ich Laut Nach Warum Wer Was Wie Wo Vor Zum Zur Ein Eine Bei Aber Und Dann Während Ende Gestern Heute Bringen Wirklich Niemand Seit Als Wenn Auf Mit".split())
+#: German: words that can stand before an ordinal, and months, which can follow one. A capitalised function word behind
+#: the figure opens a sentence.
+BEFORE_ORDINAL = frozenset("am der den dem des die das vom zum zur im in ins beim ab bis seit und oder dieser diesem diesen dieses jeder jedem jeden jedes mein meinem meinen sein seinem seinen seiner ihr ihrem ihren ihrer unser unserem unseren".split())
+GERMAN_MONTHS = frozenset("Januar Jänner Februar März April Mai Juni Juli August September Oktober November Dezember".split())
+GERMAN_FUNCTION_WORDS = frozenset(lexicon.FUNCTION_WORDS["de"].split())
 ROMAN = re.compile(r"[IVXLC]+\b")
 GERMAN = re.compile(r"(?i)\b(?:der|die|und|nicht|wurde|wird|eine?[rnms]?|mit|für|auf|von|am|im|ist)\b")
 OPEN = {"(": ")", "[": "]", "{": "}", "«": "»", "“": "”", "„": "“”", "‹": "›", "「": "」", "『": "』", "（": "）", "【": "】", "《": "》", "‚": "‘’"}
@@ -147,7 +151,7 @@ def _stop_ends(text: str, start: int, lo: int, hi: int, german: bool) -> bool:
     if re.fullmatch(r"(?:\w\.-?)+\w", word) and word.isupper() and "-" in word:
         return False
     kind = abbreviation(text, lo, start)
-    if kind == "never":
+    if kind == "never" or german and len(word) > 3 and word.endswith("str"):  # a street's name
         return False
     if kind == "number":
         return (c.isupper() or bare or c in "¿¡") and not ROMAN.match(text, nxt)
@@ -159,8 +163,9 @@ def _stop_ends(text: str, start: int, lo: int, hi: int, german: bool) -> bool:
         if c.isdigit():
             return False
         if german and c.isupper():
-            following = re.match(r"\w+", text[nxt:])
-            return following is not None and following[0] in GERMAN_OPENERS
+            following = re.match(r"\w+", text[nxt : nxt + REACH])[0]
+            before = re.search(r"(\w+)\W*$", text[max(start, i - REACH) : i])
+            return following not in GERMAN_MONTHS and (following.lower() in GERMAN_FUNCTION_WORDS or not before or before[1].lower() not in BEFORE_ORDINAL and not before[1].isdigit())
     return True
 
 

@@ -74,3 +74,13 @@ def test_frames(spark):
     df = spark.createDataFrame([(1, "One. Two."), (1, "One. Two."), (2, None), (3, "")], "doc_id bigint, text string")
     assert sorted(tuple(r) for r in sentences(df).collect()) == [(1, 0, 4)] * 2 + [(1, 1, 9)] * 2
     assert sentences(df.limit(0)).count() == 0
+
+
+def test_german_ordinals_and_streets():
+    text = "Die Sitzung ist am 3. Oktober in der Lindenstr. 5 in Bonn. Das Kapitel endet mit Seite 45. Bringen wir es zu Ende. Er kam im 19. Jahrhundert und am 12. 580. Tag an."
+    assert [text[a:b].strip() for a, b in zip([0, *sentence_ends(text)], sentence_ends(text))] == [
+        "Die Sitzung ist am 3. Oktober in der Lindenstr. 5 in Bonn.",
+        "Das Kapitel endet mit Seite 45.",
+        "Bringen wir es zu Ende.",
+        "Er kam im 19. Jahrhundert und am 12. 580. Tag an.",
+    ]
