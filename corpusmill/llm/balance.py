@@ -24,12 +24,16 @@ from corpusmill.operators.mixing import category
 from corpusmill.plans.lineage import materialize
 
 GROUP = 20_000
+#: Categories are held by the driver; a table of more ratios is refused.
+MOST_CATEGORIES = 1000
 
 
 def sized_records(counted: DataFrame, ratios: DataFrame) -> DataFrame:
     """``doc_id, source, category, n_chars, n_tokens, ratio, max_repeats`` of the records that can be drawn."""
+    if ratios.count() > MOST_CATEGORIES:
+        raise ValueError("so many categories do not fit a broadcast and the driver")
     r = ratios.select("category", "ratio", F.greatest(F.coalesce("max_repeats", F.lit(1)), F.lit(0)).alias("max_repeats")).where("ratio > 0")
-    return counted.where("n_tokens > 0").withColumn("category", category(F.col("source"))).join(F.broadcast(r.limit(1000)), "category").select("doc_id", "source", "category", "n_chars", "n_tokens", "ratio", "max_repeats")
+    return counted.where("n_tokens > 0").withColumn("category", category(F.col("source"))).join(F.broadcast(r), "category").select("doc_id", "source", "category", "n_chars", "n_tokens", "ratio", "max_repeats")
 
 
 def _sums(sizes: DataFrame, dual: dict[str, tuple[float, float]]) -> dict[str, np.ndarray]:
@@ -50,7 +54,8 @@ def solve(records: DataFrame, total: int | None = None, iterations: int = 40, to
 
     Without a wanted total it is the largest that meets all ratios exactly within the repeats. A category that has to be
     drawn in full is at its cap and needs no dual. The constraints of a category are its tokens and, so that long and
-    short documents keep their proportion, its documents; both duals move together in damped Newton steps.
+    short documents keep their proportion, its documents; both duals move together in damped Newton steps. A dual that
+    has not converged after ``iterations`` steps is an error.
     """
     stats = {r["category"]: r for r in records.groupBy("category").agg(F.sum("n_tokens").alias("tokens"), F.count("*").alias("documents"), F.max("ratio").alias("ratio"), F.max("max_repeats").alias("cap")).collect()}
     stats = {k: r for k, r in stats.items() if r.tokens and r.cap}
@@ -66,7 +71,7 @@ def solve(records: DataFrame, total: int | None = None, iterations: int = 40, to
     for name, d in duals.items():
         scale = F.when(F.col("category") == name, F.lit(d["mean"])).otherwise(scale)
     sizes = materialize(records.where(F.col("category").isin(sorted(open_) or [""])).groupBy("category", "n_tokens", "max_repeats").agg(F.count("*").alias("n")).withColumn("scale", scale))
-    for _ in range(iterations):
+    for _ in range(iterations + 1):
         if not open_:
             break
         got = _sums(sizes, {k: duals[k]["dual"] for k in open_})
@@ -81,6 +86,8 @@ def solve(records: DataFrame, total: int | None = None, iterations: int = 40, to
             step = np.linalg.solve(hessian, gradient)
             step *= min(1.0, 2.0 / max(np.abs(step).max(), 1e-12))
             d["dual"] = (d["dual"][0] + float(step[0]), d["dual"][1] + float(step[1]))
+    if open_:
+        raise RuntimeError(f"the dual of {sorted(open_)} has not converged")
     return duals, aim
 
 

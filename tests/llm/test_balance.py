@@ -34,15 +34,35 @@ def test_shares_are_met(tables):
     assert drawn.where("abs(copies - rate) >= 1").count() == 0
 
 
-def test_the_optimum_is_an_exponential_tilt(tables):
-    """Against a direct solution by bisection on the token dual, in a case where the cap binds for none."""
+def test_no_other_rates_are_nearer_to_the_base(tables):
+    """Optimality: along random directions that keep tokens and documents, the relative entropy to the base only rises."""
     counted, ratios = tables
     records = balance.sized_records(counted, ratios)
     duals, _ = balance.solve(records, total=20_000)
+    rng = np.random.default_rng(2)
+    entropy = lambda w: (w * np.log(w) - w).sum()
     for name, d in duals.items():
         t = np.array([r.n_tokens for r in records.where(F.col("category") == name).collect()], float)
         w = np.exp(d["dual"][0] + d["dual"][1] * t / d["mean"])
         assert abs((w * t).sum() / t.sum() - d["rate"]) < 1e-4 and abs(w.mean() - d["rate"]) < 1e-4
+        kept = np.linalg.qr(np.column_stack([np.ones_like(t), t]))[0]
+        for _ in range(50):
+            step = rng.normal(size=len(t))
+            step -= kept @ (kept.T @ step)
+            step *= 0.2 * w.min() / np.abs(step).max()
+            assert entropy(w + step) > entropy(w) and entropy(w - step) > entropy(w)
+
+
+def test_a_dual_that_does_not_converge_is_an_error(tables):
+    records = balance.sized_records(*tables)
+    with pytest.raises(RuntimeError):
+        balance.solve(records, iterations=1, tolerance=1e-12)
+
+
+def test_too_many_categories_are_refused(spark, tables):
+    many = spark.range(balance.MOST_CATEGORIES + 1).selectExpr("concat('c', id) as category", "0.1D as ratio", "1 as max_repeats")
+    with pytest.raises(ValueError):
+        balance.sized_records(tables[0], many)
 
 
 def test_a_ratio_per_category_alone_tilts_nothing(tables):
