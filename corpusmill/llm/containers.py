@@ -18,6 +18,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from corpusmill.plans.lineage import materialize
+
 CAPACITY = 1025
 FRAME = 2
 GROUP = 4096
@@ -63,7 +65,8 @@ def pack(sized: DataFrame, size: str = "n_tokens", id_column: str = "doc_id", ca
 
     ``n`` counts the begin and end token, ``token_from`` is the fragment's first token in the framed document.
     """
-    docs = sized.where(F.col(size).isNotNull()).select(id_column, (F.col(size) + FRAME).cast("bigint").alias("size"))
+    # written once: the sizes are counted and packed, and computing them is the dear part
+    docs = materialize(sized.where(F.col(size).isNotNull()).select(id_column, (F.col(size) + FRAME).cast("bigint").alias("size")))
     groups = max(1, math.ceil(docs.count() / group))
     schema = f"`{id_column}` {docs.schema[id_column].dataType.simpleString()}, fragment bigint, sequence string, position bigint, token_from bigint, n bigint"
 
