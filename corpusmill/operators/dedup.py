@@ -14,15 +14,22 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from corpusmill.functions.text import nfc, with_ngrams, words
+from corpusmill.operators.mixing import ordinals
 from corpusmill.plans.lineage import materialize
 
 PRIME = (1 << 31) - 1
 PERMUTATIONS = 64
-#: Fixed value: bands and rows for 64 permutations in the bucket query.
-BANDS_TEXT = (4, 15)
+#: Bands and rows for 64 permutations in the bucket query, for text and for code.
+BANDS_TEXT, BANDS_CODE = (4, 15), (5, 11)
 #: Near duplicates: words of a shingle, the least Jaccard similarity, and bands and rows of the candidates. A pair of
 #: similarity 0.8 shares no band with probability (1 - 0.8**4)**32 = 5e-8.
 NEAR_WORDS, NEAR_SIMILARITY, NEAR_BANDS = 5, 0.8, (32, 4)
+MARKS = ("prefix", "suffix", "middle")
+#: Rows of one component that a task scans at once.
+SCAN_ROWS = 200_000
+#: Fixed value: rows of a source up to which near duplicates are found by similarity.
+MOST_NEAR = 500_000
+MOST_SOURCES = 100_000
 
 
 def exact_duplicates(df: DataFrame, digest: str = "digest", order: tuple[str, ...] = ("doc_id",)) -> DataFrame:
@@ -181,21 +188,11 @@ def fingerprints(df: DataFrame, text: str = "normalised", safe_middle: bool = Fa
     )
 
 
-def fingerprint_dedup(df: DataFrame, text: str = "normalised", id_column: str = "doc_id", tolerance: float = 0.15) -> DataFrame:
-    """``doc_id, removed``: a document goes if a fingerprint was last kept by a document of nearly the same length.
+def components(edges: DataFrame) -> DataFrame:
+    """``id, label`` from rows (id, fp): label propagation until no label changes; the label is the component's first id.
 
-    The scan is ordered, so it runs inside connected components of shared fingerprints. Exact copies share a component:
-    they are collapsed to their first row before, since a copy of a kept text goes and a copy of a removed text does
-    too. Components come from label propagation in rounds written to the shared folder, until no label changes; every round
-    also takes over the label of the label, which shortens long chains.
+    Every round also takes over the label of the label, which shortens long chains.
     """
-    keyed = df.where(F.length(text) > 0).select(id_column, F.col(text).alias("__t"))
-    keyed = keyed.withColumn("__d", F.md5("__t"))
-    heads = keyed.groupBy("__d").agg(F.min(F.struct(id_column, "__t")).alias("r")).select("__d", "r.*")
-    prints = materialize(fingerprints(heads, "__t", False).select("__d", F.col(id_column).alias("id"), "n", "fp_prefix", "fp_suffix", "fp_middle"))
-    long = materialize(prints.select("id", F.explode(F.array(*(F.concat(F.lit(k), F.col(f"fp_{v}")) for k, v in (("p", "prefix"), ("s", "suffix"), ("m", "middle"))))).alias("fp")))
-    shared = long.groupBy("fp").agg(F.count("*").alias("c")).where("c > 1").select("fp")
-    edges = materialize(long.join(shared, "fp"))
     label = materialize(edges.select("id").distinct().withColumn("label", F.col("id")))
     while True:
         low = edges.join(label, "id").groupBy("fp").agg(F.min("label").alias("low"))
@@ -204,25 +201,70 @@ def fingerprint_dedup(df: DataFrame, text: str = "normalised", id_column: str =
         settled = after.join(label.withColumnRenamed("label", "old"), "id").where("label <> old").isEmpty()
         label = after
         if settled:
-            break
-    component = prints.join(label, "id").select("label", "id", "n", "fp_prefix", "fp_suffix", "fp_middle")
+            return label
+
+
+def fingerprint_dedup(df: DataFrame, text: str = "normalised", id_column: str = "doc_id", tolerance: float = 0.15, scope: list[str] | None = None, scan_rows: int = SCAN_ROWS) -> DataFrame:
+    """``doc_id, removed``: a document goes if a fingerprint was last kept by a document of nearly the same length.
+
+    Fingerprints count within ``scope``, by default in all rows. The rule is a scan in the order of ids, and what a
+    document finds depends on the documents kept before it, so it is followed inside connected components of shared
+    fingerprints. A text that repeats its predecessor in the component goes without being scanned: that one was kept, or
+    went and changed nothing. The rest of a component is scanned in stretches of at most ``scan_rows`` rows, all
+    components side by side; from stretch to stretch the last kept lengths are a table. No task holds more than a stretch
+    of a component. Null and empty texts stay.
+    """
+    here = F.coalesce(F.to_json(F.struct(*scope)), F.lit("")) if scope else F.lit("")
+    keyed = df.where(F.length(text) > 0).select(F.col(id_column).alias("id"), here.alias("__scope"), F.col(text).alias("__t"))
+    marks = {k: F.concat(F.lit(k[0]), F.col(f"fp_{k}"), F.col("__scope")) for k in MARKS}
+    prints = materialize(fingerprints(keyed, "__t").select("id", "n", F.md5("__t").alias("digest"), *(c.alias(k) for k, c in marks.items())))
+    long = prints.select("id", F.explode(F.array(*MARKS)).alias("fp"))
+    shared = long.groupBy("fp").agg(F.count("*").alias("c")).where("c > 1").select("fp")
+    edges = materialize(long.join(shared, "fp"))
+    ranked = ordinals(prints.join(components(edges), "id"), ["label"], "id", "rank")
+    before = ranked.select("label", (F.col("rank") + 1).alias("rank"), F.col("digest").alias("before"))
+    placed = materialize(ranked.join(before, ["label", "rank"], "left").withColumn("repeats", F.coalesce(F.col("digest") == F.col("before"), F.lit(False))).drop("rank", "before"))
+    rows = ordinals(placed.where("not repeats").drop("digest", "repeats"), ["label"], "id", "rank")
+    rows = materialize(rows.withColumn("stretch", F.floor((F.col("rank") - 1) / scan_rows)).drop("rank"))
+    kind = prints.schema["id"].dataType.simpleString()
 
     def scan(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("id")
         last: tuple[dict, dict, dict] = ({}, {}, {})
         out = []
-        for row in pdf.sort_values("id").itertuples(index=False):
-            marks = (row.fp_prefix, row.fp_suffix, row.fp_middle)
-            near = any(m in d and abs(row.n - d[m]) / max(row.n, d[m], 1) < tolerance for m, d in zip(marks, last))
+        for row in pdf.itertuples(index=False):
+            for mark, known, d in zip((row.prefix, row.suffix, row.middle), (row.last_prefix, row.last_suffix, row.last_middle), last):
+                if mark not in d and known == known and known is not None:
+                    d[mark] = known
+            found = (row.prefix, row.suffix, row.middle)
+            near = any(m in d and abs(row.n - d[m]) / max(row.n, d[m], 1) < tolerance for m, d in zip(found, last))
             out.append(near)
             if not near:
-                for m, d in zip(marks, last):
+                for m, d in zip(found, last):
                     d[m] = row.n
-        return pd.DataFrame({"id": pdf.sort_values("id")["id"].values, "gone": out})
-
-    gone = component.groupBy("label").applyInPandas(scan, "id bigint, gone boolean").where("gone")
-    of = keyed.select(id_column, "__d").join(prints.select("__d", "id"), "__d").join(gone, "id", "left")
-    flagged = of.select(id_column, (F.coalesce("gone", F.lit(False)) | (F.col(id_column) != F.col("id"))).alias("__r"))
-    return df.select(id_column).join(flagged, id_column, "left").select(id_column, F.coalesce("__r", F.lit(False)).alias("removed"))
+        return pd.DataFrame({"id": pdf["id"].values, "gone": out})
+
+    gone, state = placed.where("repeats").select("id"), None
+    for stretch in range(int(rows.agg(F.max("stretch")).first()[0] or 0) + 1):
+        part = rows.where(F.col("stretch") == stretch).drop("stretch")
+        for k in MARKS:
+            part = part.withColumn(f"last_{k}", F.lit(None).cast("double")) if state is None else part.join(state.select(F.col("fp").alias(k), F.col("last").cast("double").alias(f"last_{k}")), k, "left")
+        scanned = materialize(part.groupBy("label").applyInPandas(scan, f"id {kind}, gone boolean"))
+        gone = gone.unionByName(scanned.where("gone").select("id"))
+        kept = rows.where(F.col("stretch") == stretch).join(scanned.where("not gone"), "id").select("id", "n", F.explode(F.array(*MARKS)).alias("fp"))
+        new = kept.groupBy("fp").agg(F.max_by("n", "id").alias("last"))
+        state = materialize(new if state is None else new.unionByName(state.join(new, "fp", "left_anti")))
+    return df.select(id_column).join(gone.select(F.col("id").alias(id_column), F.lit(True).alias("__r")), id_column, "left").select(id_column, F.coalesce("__r", F.lit(False)).alias("removed"))
+
+
+def routed_dedup(df: DataFrame, text: str = "normalised", source: str = "source", id_column: str = "doc_id", most: int = MOST_NEAR) -> DataFrame:
+    """``doc_id, rule, removed``: sources of at most ``most`` rows by similarity, larger ones by fingerprints, each on its own."""
+    sizes = df.groupBy(source).agg((F.count("*") > most).alias("__large"))
+    sizes = sizes.withColumnRenamed(source, "__s")
+    routed = df.join(F.broadcast(sizes) if sizes.limit(MOST_SOURCES + 1).count() <= MOST_SOURCES else sizes, F.col(source).eqNullSafe(F.col("__s"))).drop("__s")
+    near = near_duplicates(routed.where("not __large"), text, [source], id_column)
+    marked = fingerprint_dedup(routed.where("__large"), text, id_column, scope=[source])
+    return near.select(id_column, F.lit("similarity").alias("rule"), "removed").unionByName(marked.select(id_column, F.lit("fingerprint").alias("rule"), "removed"))
 
 
 def iterate_batches(frames: Iterator[DataFrame], digest: str = "digest") -> Iterator[DataFrame]:

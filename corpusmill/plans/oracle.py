@@ -77,6 +77,30 @@ s1 as (select doc_id, source, is_code, list_distinct(case when len(w) between 1
 s2 as (select doc_id, source, is_code, list_distinct(list_transform(g, lambda s: ('0x' || substring(md5(s), 1, 8))::bigint % {PRIME})) as h from s1),
 signed as (select doc_id, source, is_code, [{", ".join(f"coalesce(list_min(list_transform(h, lambda x: (x * {a} + {b}) % {PRIME})), {PRIME})" for a, b in map(permutation, range(PERMUTATIONS)))}] as signature from s2)
 """
+#: Similarity of the sets of five-word runs, pair by pair, then the greedy rule in the order of ids.
+NEAR = f"""
+n0 as (select doc_id, source, {words("lower(nfc_normalize(normalised))")} as w from {{from}}),
+n1 as (select doc_id, source, list_sort(list_distinct(case when len(w) < 5 then [array_to_string(w, ' ')] else list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i+4], ' ')) end)) as s from n0),
+n2 as (select source, s, min(doc_id) as class_id from n1 group by 1, 2),
+near_members as (select doc_id, class_id from n1 join n2 on n1.s = n2.s and n1.source is not distinct from n2.source),
+n3 as (select class_id as id, source, len(s) as n, unnest(s) as x from n2),
+n4 as (select a.id as a, b.id as b from n3 a join n3 b on a.x = b.x and a.source is not distinct from b.source and a.id < b.id group by 1, 2 having count(*) >= 0.8 * (any_value(a.n) + any_value(b.n) - count(*)) - 1e-9),
+n5 as (select id, row_number() over (order by id) as r, coalesce(list(a) filter (a is not null), []) as earlier from (select distinct unnest([a, b]) as id from n4) left join n4 on id = b group by id),
+n6 as (select 0::bigint as r, []::bigint[] as stay union all select n5.r, case when list_has_any(earlier, stay) then stay else list_append(stay, id) end from n6 join n5 on n5.r = n6.r + 1),
+n7 as (select stay from n6 order by r desc limit 1),
+near_gone as (select id from n5 where not list_contains((select stay from n7), id))
+"""
+#: The fingerprint rule as a scan: one row a step, the last kept lengths in a map.
+SCAN = """
+p0 as (select doc_id as id, normalised as x, length(normalised) as n, length(normalised) // 2 as mid, {scope} as scope from {from} where length(normalised) > 0),
+p1 as (select *, case when mid - 100 < 0 then greatest(n + mid - 100, 0) else mid - 100 end as lo from p0),
+p2 as (select id, n, 'p' || sha256(substring(x, 1, 200)) || coalesce(scope, '') as a, 's' || sha256(right(x, 200)) || coalesce(scope, '') as b, 'm' || sha256(substring(x, lo + 1, greatest(mid + 100 - lo, 0))) || coalesce(scope, '') as c from p1),
+p3 as (select fp from (select unnest([a, b, c]) as fp from p2) group by 1 having count(*) > 1),
+p4 as (select *, row_number() over (order by id) as r from p2 where a in (select fp from p3) or b in (select fp from p3) or c in (select fp from p3)),
+scanned as (select 0::bigint as r, null::bigint as id, false as gone, map {}::map(varchar, bigint) as last union all
+  select r, id, near, case when near then last else map_concat(last, map([a, b, c], [n, n, n])) end from (
+    select p4.r, p4.id, a, b, c, n, last, list_bool_or(list_transform([last[a], last[b], last[c]], lambda k: coalesce(abs(n - k) / greatest(n, k, 1)::double < 0.15::double, false))) as near from scanned join p4 on p4.r = scanned.r + 1))
+"""
 CATEGORY = "case " + " ".join(f"when {any_of('lower({c})', p)} then {q(n)}" for n, p in CATEGORY_PATTERNS.items()) + " end"
 HINTS = {n: " + ".join(f"contains(lower(path), {q(h)})::int" for h in hints) for n, hints in CATEGORY_HINTS.items()}
 BUDGETS = f"""
@@ -139,6 +163,10 @@ SQL = {
     "contaminated_docs": f"with a as (select {MATCHING} as w from benchmark where text is not null), b as (select distinct unnest({NGRAMS13}) as ngram from a), c as (select doc_id, {MATCHING} as w from documents where text is not null), d as (select doc_id, unnest({NGRAMS13}) as ngram from c) select doc_id, count(*) as hits from d where ngram in (select ngram from b) group by 1",
     "minhash_signature": f"with {FEATURES}, {SHINGLES} select doc_id, array_to_string(signature, ',') as signature from signed",
     "lsh_buckets": f"with {FEATURES}, {SHINGLES}, b as (select source, doc_id, i as band, md5(array_to_string(signature[i * 15 + 1 : i * 15 + 15], ',')) as bucket from signed, unnest(range(0, 4)) as u(i) where not is_code) select source, band, bucket, count(*) as members, min(doc_id) as first_id from b group by 1, 2, 3 having count(*) > 1",
+    "lsh_buckets_code": f"with {FEATURES}, {SHINGLES}, b as (select source, doc_id, i as band, md5(array_to_string(signature[i * 11 + 1 : i * 11 + 11], ',')) as bucket from signed, unnest(range(0, 5)) as u(i) where is_code) select source, band, bucket, count(*) as members, min(doc_id) as first_id from b group by 1, 2, 3 having count(*) > 1",
+    "fuzzy_dedup": f"with recursive {FEATURES}, {NEAR.replace('{from}', 'kept')} select doc_id, class_id, doc_id <> class_id or class_id in (select id from near_gone) as removed from near_members",
+    "fingerprint_dedup": f"with recursive {FEATURES}, {SCAN.replace('{from}', 'kept').replace('{scope}', chr(39) * 2)} select doc_id, doc_id in (select id from scanned where gone) as removed from kept",
+    "routed_dedup": f"with recursive {FEATURES}, sizes as (select source, count(*) > 100 as large from kept group by 1), small as (select k.* from kept k join sizes s on k.source is not distinct from s.source where not large), big as (select k.* from kept k join sizes s on k.source is not distinct from s.source where large), {NEAR.replace('{from}', 'small')}, {SCAN.replace('{from}', 'big').replace('{scope}', 'source')} select doc_id, 'similarity' as rule, doc_id <> class_id or class_id in (select id from near_gone) as removed from near_members union all select doc_id, 'fingerprint', doc_id in (select id from scanned where gone) from big",
     "fingerprint_keys": f"with {FEATURES}, a as (select doc_id, normalised as x, length(normalised) as n, length(normalised) // 2 as mid from kept), b as (select *, case when mid - 100 < 0 then greatest(n + mid - 100, 0) else mid - 100 end as lo from a) select doc_id, n, sha256(substring(x, 1, 200)) as fp_prefix, sha256(right(x, 200)) as fp_suffix, sha256(substring(x, lo + 1, greatest(mid + 100 - lo, 0))) as fp_middle from b",
     "web_rows_accepted": "select row_id, source from web_rows where coalesce(score, 1.0) >= 0.7 and length(text) > 100",
     "min_length": "select row_id from web_rows where length(text) > 100",

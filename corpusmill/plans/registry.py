@@ -179,6 +179,13 @@ def lsh_buckets(spark, sf):
     return b.groupBy("source", "band", "bucket").agg(F.count("*").alias("members"), F.min("doc_id").alias("first_id")).where("members > 1")
 
 
+@query
+def lsh_buckets_code(spark, sf):
+    s = dedup.signatures(_kept(spark, sf).where("is_code"), "normalised")
+    b = dedup.band_keys(s, ["source", "doc_id"], *dedup.BANDS_CODE)
+    return b.groupBy("source", "band", "bucket").agg(F.count("*").alias("members"), F.min("doc_id").alias("first_id")).where("members > 1")
+
+
 @query
 def fuzzy_dedup(spark, sf):
     return dedup.near_duplicates(_kept(spark, sf))
@@ -194,6 +201,11 @@ def fingerprint_dedup(spark, sf):
     return dedup.fingerprint_dedup(_kept(spark, sf))
 
 
+@query
+def routed_dedup(spark, sf):
+    return dedup.routed_dedup(_kept(spark, sf), most=100)
+
+
 @query
 def web_rows_accepted(spark, sf):
     return readers.web_rows_accepted(table(spark, sf, "web_rows")).select("row_id", "source")

@@ -118,6 +118,41 @@ def test_a_chain_longer_than_sixty_links_is_one_component(spark):
     assert {x.doc_id for x in dedup.fingerprint_dedup(df).where("removed").collect()} == sequential(rows) == set(range(1, 150, 2))
 
 
+def scanned(spark, texts, **options):
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, normalised string")
+    return {x.doc_id for x in dedup.fingerprint_dedup(df, **options).where("removed").collect()}
+
+
+def test_a_copy_of_a_kept_text_stays_once_its_fingerprints_are_overwritten(spark):
+    r = random.Random(9)
+    part = lambda n: "".join(r.choice("abcdefgh ") for _ in range(n))
+    a = part(1000)
+    b = a[:200] + part(1600) + a[-200:]
+    c = part(1200) + a[400:600] + part(1200)
+    texts = [a, b, c, a]
+    assert scanned(spark, texts) == sequential(list(enumerate(texts))) == set()
+
+
+def test_stretches_of_a_component_hand_on_their_state(spark):
+    r = random.Random(12)
+    heads = ["".join(r.choice("abcdef ") for _ in range(260)) for _ in range(3)]
+    texts = []
+    for _ in range(90):
+        texts += [r.choice(heads) + "".join(r.choice("xyz") for _ in range(r.randint(0, 400))) + r.choice(heads)] * r.choice([1, 1, 1, 2, 5])
+    truth = sequential(list(enumerate(texts)))
+    assert 20 < len(truth) < len(texts) - 10
+    assert scanned(spark, texts, scan_rows=17) == truth == scanned(spark, texts)
+
+
+def test_routes_by_size(spark):
+    base = " ".join(f"w{i}" for i in range(200))
+    rows = [(1, "s", False, base), (2, "s", False, base + " more")] + [(i, "t", False, base + " x" * (i % 3)) for i in range(10, 16)] + [(20, None, False, base), (21, None, False, base)]
+    out = {(r.doc_id, r.rule): r.removed for r in dedup.routed_dedup(docs(spark, rows), most=3).collect()}
+    assert {k for k in out} == {(i, "similarity" if i < 10 or i > 19 else "fingerprint") for i, *_ in rows}
+    assert {i for (i, _), x in out.items() if x} == {2, 11, 12, 13, 14, 15, 21}
+    assert dedup.routed_dedup(docs(spark, rows).limit(0)).count() == 0
+
+
 def test_batches(spark):
     parts = [spark.createDataFrame(x, "doc_id bigint, digest string") for x in ([(1, "a"), (2, "a"), (3, "b")], [(4, "b"), (5, "c")], [(6, "c"), (7, None)])]
     assert [sorted(r.doc_id for r in f.collect()) for f in dedup.iterate_batches(parts)] == [[1, 3], [5], [7]]
