@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -15,6 +16,8 @@ from pyspark.sql import functions as F
 ALPHA = 0.05
 MAX_STEPS, WARMUP, STABLE, PEAK, FLOOR = 80_000, 0.0375, 0.7125, 3e-4, 1e-5
 HISTORY_LIMIT, HISTORY_KEEP = 2000, 1500
+#: Steps of a run that one task takes at once, and values folded together.
+PIECE, FOLD = 4096, 256
 
 
 def finite(c: Column) -> Column:
@@ -41,35 +44,52 @@ def smoothed(series: DataFrame, key: str = "run_id", order: str = "step", value:
     ends are chained, and the chained value enters each piece again. A run of any length is many small tasks.
     """
     rows = series.select(key, order, finite(F.col(value)).cast("double").alias(value)).where(F.col(value).isNotNull())
-    piece = F.floor(F.col(order) / 4096)
+    piece = F.floor(F.col(order) / PIECE)
     schema = f"`{key}` string, `{order}` bigint, `{value}` double, partial double, weight double, piece bigint"
 
     def fold(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(order, kind="stable")
         x = pdf[value].to_numpy()
-        e, w, partial, weight = 0.0, 1.0, [], []
-        for v in x:
-            e = alpha * v + (1 - alpha) * e
-            w *= 1 - alpha
-            partial.append(e)
-            weight.append(w)
+        partial = np.empty(len(x))
+        e = 0.0
+        for at in range(0, len(x), FOLD):  # so few at once that the powers of 1 - alpha keep their precision
+            v = x[at : at + FOLD]
+            power = (1 - alpha) ** np.arange(1, len(v) + 1)
+            partial[at : at + FOLD] = power * (e + np.cumsum(alpha * v / power))
+            e = partial[at + len(v) - 1]
+        weight = (1 - alpha) ** np.arange(1, len(x) + 1)
         return pd.DataFrame({key: pdf[key].astype(str), order: pdf[order], value: x, "partial": partial, "weight": weight, "piece": pdf["piece"]})
 
     parts = rows.withColumn("piece", piece.cast("bigint")).groupBy(key, "piece").applyInPandas(fold, schema)
     ends = parts.groupBy(key, "piece").agg(F.max_by(F.struct("partial", "weight"), order).alias("end"), F.min_by(value, order).alias("first"))
-    w = Window.partitionBy(key).orderBy("piece")
-    listed = F.collect_list(F.struct("end.partial", "end.weight")).over(w.rowsBetween(Window.unboundedPreceding, -1))
-    start = F.first("first").over(w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
-    carry = ends.select(key, "piece", F.aggregate(listed, start, lambda s, x: x["partial"] + x["weight"] * s).alias("carry"))
+
+    def chain(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("piece")
+        s, carry = pdf["first"].iloc[0], []
+        for partial, weight in zip(pdf["partial"], pdf["weight"]):
+            carry.append(s)
+            s = partial + weight * s
+        return pd.DataFrame({key: pdf[key], "piece": pdf["piece"], "carry": carry})
+
+    # one row for each PIECE of a run
+    carry = ends.select(F.col(key).cast("string").alias(key), "piece", "first", "end.partial", "end.weight").groupBy(key).applyInPandas(chain, f"`{key}` string, piece bigint, carry double")
     return parts.join(carry, [key, "piece"]).select(key, order, value, (F.col("partial") + F.col("weight") * F.col("carry")).alias("ema"))
 
 
 def running_best(validation: DataFrame, key: str = "run_id", order: str = "step", value: str = "val_loss") -> DataFrame:
-    """Adds ``best`` so far and ``improved``: strictly below everything before."""
-    rows = validation.where(finite(F.col(value)).isNotNull())
-    w = Window.partitionBy(key).orderBy(order)
-    before = F.min(value).over(w.rowsBetween(Window.unboundedPreceding, -1))
-    return rows.withColumn("best", F.min(value).over(w.rowsBetween(Window.unboundedPreceding, 0))).withColumn("improved", before.isNull() | (F.col(value) < before))
+    """Adds ``best`` so far and ``improved``: strictly below everything before.
+
+    A run is cut into pieces of steps; minima run inside a piece, and only one row a piece is ordered over the run.
+    """
+    rows = validation.where(finite(F.col(value)).isNotNull()).withColumn("__piece", F.floor(F.col(order) / PIECE))
+    lows = rows.groupBy(F.col(key).alias("__key"), F.col("__piece").alias("__of")).agg(F.min(value).alias("__low"))
+    earlier = lows.select("__key", "__of", F.min("__low").over(Window.partitionBy("__key").orderBy("__of").rowsBetween(Window.unboundedPreceding, -1)).alias("__earlier"))
+    w = Window.partitionBy(key, "__piece").orderBy(order)
+    inside = F.min(value).over(w.rowsBetween(Window.unboundedPreceding, -1))
+    joined = rows.withColumn("__inside", inside).join(earlier, F.col(key).eqNullSafe(F.col("__key")) & F.col("__piece").eqNullSafe(F.col("__of")))
+    before = F.least("__inside", "__earlier")
+    best = joined.withColumn("improved", before.isNull() | (F.col(value) < before)).withColumn("best", F.least(before, F.col(value)))
+    return best.drop("__piece", "__inside", "__key", "__of", "__earlier")
 
 
 def capped_size(appended: Column) -> Column:

@@ -46,6 +46,14 @@ def likely_category(path: Column) -> Column:
     return F.when(best["score"] > 0, F.struct(best["name"].alias("category"), best["score"].alias("score")))
 
 
+def require_categories(stats: DataFrame, allow_unknown: bool = False, source: str = "source") -> DataFrame:
+    """The rows with a category. A source without one is an error, or is left out where unknown ones are allowed."""
+    marked = stats.withColumn("category", category(F.col(source)))
+    if not allow_unknown and (strange := marked.where("category is null").select(source).distinct().limit(10).collect()):
+        raise ValueError(f"sources without a category: {[r[0] for r in strange]}")
+    return marked.where("category is not null")
+
+
 def source_stats(documents: DataFrame, text: str = "text") -> DataFrame:
     """Rows, characters and mean length of the texts of every source; null texts count as rows of no length."""
     n = F.coalesce(F.length(text), F.lit(0))

@@ -9,8 +9,10 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that ``spark.checkpoint.dir`` names; one of our own only where the session has none (tests)."""
+    """The folder that ``spark.checkpoint.dir`` names. Only a session on one machine may do without: it gets its own."""
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not folder and not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("spark.checkpoint.dir has to name a folder that all executors share")
     if not folder:
         folder = tempfile.mkdtemp(prefix="corpusmill-")
         spark.sparkContext.setCheckpointDir(folder)

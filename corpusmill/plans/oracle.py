@@ -90,15 +90,15 @@ n6 as (select 0::bigint as r, []::bigint[] as stay union all select n5.r, case w
 n7 as (select stay from n6 order by r desc limit 1),
 near_gone as (select id from n5 where not list_contains((select stay from n7), id))
 """
-#: The fingerprint rule as a scan: one row a step, the last kept lengths in a map.
+#: The fingerprint rule as a scan: one row a step, the last kept lengths in a list.
 SCAN = """
 p0 as (select doc_id as id, normalised as x, length(normalised) as n, length(normalised) // 2 as mid, {scope} as scope from {from} where length(normalised) > 0),
 p1 as (select *, case when mid - 100 < 0 then greatest(n + mid - 100, 0) else mid - 100 end as lo from p0),
 p2 as (select id, n, 'p' || sha256(substring(x, 1, 200)) || coalesce(scope, '') as a, 's' || sha256(right(x, 200)) || coalesce(scope, '') as b, 'm' || sha256(substring(x, lo + 1, greatest(mid + 100 - lo, 0))) || coalesce(scope, '') as c from p1),
-p3 as (select fp from (select unnest([a, b, c]) as fp from p2) group by 1 having count(*) > 1),
-p4 as (select *, row_number() over (order by id) as r from p2 where a in (select fp from p3) or b in (select fp from p3) or c in (select fp from p3)),
-scanned as (select 0::bigint as r, null::bigint as id, false as gone, map {}::map(varchar, bigint) as last union all
-  select r, id, near, case when near then last else map_concat(last, map([a, b, c], [n, n, n])) end from (
+p3 as (select fp, row_number() over (order by fp) as f from (select unnest([a, b, c]) as fp from p2) group by 1 having count(*) > 1),
+p4 as (select id, n, x.f as a, y.f as b, z.f as c, row_number() over (order by id) as r from p2 left join p3 x on x.fp = a left join p3 y on y.fp = b left join p3 z on z.fp = c where coalesce(x.f, y.f, z.f) is not null),
+scanned as (select 0::bigint as r, null::bigint as id, false as gone, (select list(null::bigint) from p3) as last union all
+  select r, id, near, case when near then last else list_transform(last, lambda v, i: case when i in (a, b, c) then n else v end) end from (
     select p4.r, p4.id, a, b, c, n, last, list_bool_or(list_transform([last[a], last[b], last[c]], lambda k: coalesce(abs(n - k) / greatest(n, k, 1)::double < 0.15::double, false))) as near from scanned join p4 on p4.r = scanned.r + 1))
 """
 CATEGORY = "case " + " ".join(f"when {any_of('lower({c})', p)} then {q(n)}" for n, p in CATEGORY_PATTERNS.items()) + " end"
@@ -183,6 +183,14 @@ SQL = {
     "category_hint": "with p as (select distinct path from file_stats where path is not null), h as (select path, " + CATEGORY.replace("{c}", "path") + " as category, " + ", ".join(f"{e} as s{i}" for i, e in enumerate(HINTS.values())) + " from p), b as (select *, greatest(s0, s1, s2, s3, s4) as m from h) select path, category, case when m = 0 then null " + " ".join(f"when s{i} = m then {q(n)}" for i, n in enumerate(HINTS)) + " end as hint, case when m > 0 then m end as hint_score from b",
     "category_budget": f"with {BUDGETS} select source, category, budget, source_budget, round(rate, 9) as rate from budgeted",
     "hash_sample": f"with {BUDGETS}, d as (select doc_id, source, text, row_number() over (partition by source order by doc_id) as ordinal from documents where source is not null), h as (select d.*, rate, ('0x' || md5((case source {' '.join(f'when {q(s)} then {source_hash(s)}' for s in SOURCES)} else 0 end) || ':' || ordinal))::uhugeint % 100000 as h from d join budgeted using (source)) select doc_id, source, ordinal from h where h / 100000.0::double < rate and length(text) > 0",
+    "sampled_totals": "select source, count(*) as kept_docs, sum(length(text))::bigint as kept_chars from documents join ({hash_sample}) using (doc_id, source) group by 1",
+    "split_totals": "with d as (select row_number() over (order by doc_id) - 1 as position from documents where text is not null), c as (select count(*) filter (position % 100 <> 0) as train_docs, count(*) filter (position % 100 = 0) as val_docs from d) select *, round(val_docs * 100 / (train_docs + val_docs)::double, 6) as val_percent from c",
+    "packing_report": "with d as (select text, row_number() over (order by doc_id) - 1 as position from documents where text is not null), e as (select case when position % 100 = 0 then 'val' else 'train' end as split, count(*) as docs, sum(length(text))::bigint as chars, sum(octet_length(encode(text)) + 2)::bigint as tokens from d group by 1) select *, round(chars / docs::double, 6) as chars_per_doc, tokens // 1025 as sequences from e",
+    "binary_round_trip": f"with {PACKED} select seq_id, md5(array_to_string(tokens, ',')) as digest from packed where split = 'train'",
+    "json_round_trip": f"select md5(text) as digest, count(*) as n from documents where text is not null and regexp_matches(text, '{NOT_W}') group by 1",
+    "bpe_round_trip": "select doc_id, true as same from documents where text is not null",
+    "reservoir_mean": "select count(*) as n, avg(length(text)) as avg_chars from (select text from documents where text is not null order by md5('42/' || text), text limit 2000)",
+    "tokenizer_sample": f"with t as (select doc_id, source, text, least(1, 400 / greatest(count(*) over (), 1)::double) as base, {IS_CODE_PATH} as code from documents where text is not null), d as (select * from t where ('0x' || md5('7/' || text))::uhugeint % 1000000 / 1000000::double < case when code then least(1, base * 1.5) else base end) select doc_id, source from d order by md5('42/' || text), text limit 480",
     "shard_counts": f"select ('0x' || right(md5({strip('text')}), 1))::int % 16 as shard, count(*) as docs from documents where text is not null group by 1",
     "train_val_split": "with d as (select doc_id, row_number() over (order by doc_id) - 1 as position from documents where text is not null) select doc_id, position, case when position % 100 = 0 then 'val' else 'train' end as split from d",
     "shuffled_order": f"select doc_id, ('0x' || right(md5({strip('text')}), 1))::int % 16 as shard from documents where text is not null",
@@ -211,3 +219,4 @@ SQL = {
     "log_normaliser": f"with {LOGITS}, m as (select row_id, max(logit) as m from l group by 1) select row_id, round(max(m) + ln(sum(exp(logit - m))), 9) as logsumexp from l join m using (row_id) group by 1",
     "draft_residual": f"with {LOGITS}, p as (select row_id, token_id, e / sum(e) over (partition by row_id) as p from {prob(0.1)}), q as (select row_id, token_id, e / sum(e) over (partition by row_id) as q from {prob(0.2)}), d as (select row_id, p, q, greatest(p - q, 0) as d, sum(greatest(p - q, 0)) over (partition by row_id) as t from p join q using (row_id, token_id)) select row_id, count(*) filter (0.5 < case when q > 0 then least(1.0, p / q) else 1.0 end) as accepted, round(max(case when t > 0 then d / t else p end), 9) as largest, round(sum(case when t > 0 then d / t else p end), 6) as total from d group by 1",
 }
+SQL["sampled_totals"] = SQL["sampled_totals"].replace("{hash_sample}", SQL["hash_sample"])

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import os
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -9,13 +11,14 @@ from pyspark.sql import functions as F
 
 from corpusmill.functions import text as T
 from corpusmill.operators import decontaminate, dedup, metrics, mixing, packing, quality, sampling
-from corpusmill.plans.lineage import materialize, spread
+from corpusmill.plans.lineage import materialize, shared_folder, spread
 from corpusmill.plans.oracle import SQL
 from corpusmill.sources import readers
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 BUDGET_TARGET = 5_000_000
-TOKENIZER = "/opt/tokenizers/byte_bpe_50k.json"
+#: A byte-level tokenizer as a JSON file; only the driver reads it.
+TOKENIZER = os.environ.get("CORPUSMILL_TOKENIZER", "/opt/tokenizers/byte_bpe_50k.json")
 
 
 def query(f: Callable) -> Callable:
@@ -302,6 +305,17 @@ def hash_sample(spark, sf):
     return _sampled(spark, sf).select("doc_id", "source", "ordinal")
 
 
+@query
+def sampled_totals(spark, sf):
+    return _sampled(spark, sf).groupBy("source").agg(F.count("*").alias("kept_docs"), F.sum(F.length("text")).alias("kept_chars"))
+
+
+@query
+def split_totals(spark, sf):
+    counted = mixing.split(filled(spark, sf, "doc_id", "text").select("doc_id")).agg(F.count_if(F.col("split") == "train").alias("train_docs"), F.count_if(F.col("split") == "val").alias("val_docs"))
+    return counted.withColumn("val_percent", F.round(F.col("val_docs") * 100 / (F.col("train_docs") + F.col("val_docs")), 6))
+
+
 @query
 def shard_counts(spark, sf):
     return filled(spark, sf).groupBy(mixing.shard(T.strip(F.col("text"))).alias("shard")).agg(F.count("*").alias("docs"))
@@ -349,6 +363,29 @@ def packing_totals(spark, sf):
     return _packed(spark, sf).groupBy("split").agg(F.count("*").alias("sequences"), F.sum(F.size("tokens")).alias("tokens"))
 
 
+@query
+def packing_report(spark, sf):
+    d = mixing.split(filled(spark, sf, "doc_id", "text")).select("split", F.length("text").alias("chars"), F.size(packing.framed(packing.byte_tokens(F.col("text")))).alias("tokens"))
+    out = d.groupBy("split").agg(F.count("*").alias("docs"), F.sum("chars").alias("chars"), F.sum("tokens").alias("tokens"))
+    return out.withColumn("chars_per_doc", F.round(F.col("chars") / F.col("docs"), 6)).withColumn("sequences", F.floor(F.col("tokens") / packing.SEQUENCE))
+
+
+@query
+def binary_round_trip(spark, sf):
+    folder = f"{shared_folder(spark)}/tokens-{uuid.uuid4().hex}"
+    address = folder if "://" in folder or folder.startswith("/") else f"/{folder.removeprefix('file:').lstrip('/')}"
+    packing.write_binary(_packed(spark, sf).where("split = 'train'"), address)
+    return packing.read_binary(spark, address).select("seq_id", F.md5(F.concat_ws(",", F.col("tokens").cast("array<string>"))).alias("digest"))
+
+
+@query
+def json_round_trip(spark, sf):
+    folder = f"{shared_folder(spark)}/lines-{uuid.uuid4().hex}"
+    readers.write_json_lines(filled(spark, sf), folder, "text")
+    back = readers.json_lines(spark, folder, glob="*.json").where("_corrupt_record is null").where(F.col("text").rlike(T.NOT_W))
+    return back.groupBy(F.md5("text").alias("digest")).agg(F.count("*").alias("n"))
+
+
 @query
 def xy_pairs(spark, sf):
     p = packing.input_and_target(_packed(spark, sf))

@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusmill.functions.text import NOT_W, contains_any
+from corpusmill.functions.text import NOT_W, contains_any, md5_mod
 from corpusmill.operators.mixing import ordinals
 
 ITALIAN_SCORE = 0.7
@@ -67,10 +68,14 @@ def read_log(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema("step BIGINT, loss DOUBLE, lr DOUBLE, tok_per_sec DOUBLE, timestamp DOUBLE, ema_loss DOUBLE, val_loss DOUBLE, val_ppl DOUBLE").json(path)
 
 
-def complete(df: DataFrame, expected: int) -> bool:
-    """Whether a delivered file may be skipped: at least 80 % of the expected lines, none of them malformed."""
-    row = df.agg(F.count("*").alias("n"), F.count("_corrupt_record").alias("bad")).first()
-    return row.n >= 0.8 * expected and row.bad == 0
+def complete(spark: SparkSession, path: str, expected: int) -> bool:
+    """Whether a delivered file may be skipped: at least 80 % of the expected lines, and its last line is whole."""
+    lines = spark.read.text(path).where(F.col("value").rlike(NOT_W)).select("value", F.col("_metadata.file_block_start").alias("start"), F.monotonically_increasing_id().alias("at"))
+    row = lines.agg(F.count("*").alias("n"), F.max_by("value", F.struct("start", "at")).alias("last")).first()
+    try:
+        return row.n >= 0.8 * expected and row.last is not None and json.loads(row.last) is not None
+    except ValueError:
+        return False
 
 
 def first_present(*names: str) -> Column:
@@ -165,16 +170,15 @@ def registry(spark: SparkSession, sf: str) -> dict[str, Callable[[], DataFrame]]
     return out
 
 
-def reservoir(df: DataFrame, size: int, text: str = "text") -> DataFrame:
-    """A uniform sample of fixed size: the rows with the smallest keyed hashes."""
-    return df.orderBy(F.xxhash64(F.lit(42), text), text).limit(size)
+def reservoir(df: DataFrame, size: int, text: str = "text", seed: int = 42) -> DataFrame:
+    """A uniform sample of fixed size, the same under any partitioning: the rows with the smallest keyed hashes."""
+    return df.orderBy(F.md5(F.concat(F.lit(f"{seed}/"), F.col(text))), text).limit(size)
 
 
-def bernoulli(df: DataFrame, size: int, total: int, code: Column | None = None, boost: float = 1.5) -> DataFrame:
-    """Rows by hash at rate size/total, raised for code, at most 1.2 times the size."""
+def bernoulli(df: DataFrame, size: int, total: int, code: Column | None = None, boost: float = 1.5, seed: int = 7) -> DataFrame:
+    """Rows by hash at rate size/total, raised for code; of those at most 1.2 times the size, by a second hash."""
     rate = F.lit(min(1.0, size / max(total, 1)))
     if code is not None:
         rate = F.when(code, F.least(F.lit(1.0), rate * boost)).otherwise(rate)
-    return df.where(F.pmod(F.xxhash64(F.lit(7), "text"), F.lit(1_000_000)) / 1_000_000 < rate).limit(int(size * 1.2))
-
-
+    drawn = df.where(md5_mod(F.concat(F.lit(f"{seed}/"), F.col("text")), 1_000_000) / 1_000_000 < rate)
+    return reservoir(drawn, int(size * 1.2))

@@ -18,6 +18,28 @@ def test_json_lines(spark, tmp_path):
     assert [json.loads(r.value) for r in spark.read.text(out).collect()] == [{"text": "one"}]
 
 
+def test_a_delivered_file_is_skipped_if_its_last_line_is_whole(spark, tmp_path):
+    for lines, expected, whole in ((['{"text": "a"}', "{broken", '{"text": "b"}'], 3, True), (['{"text": "a"}', '{"te'], 2, False), (['{"text": "a"}'], 2, False), ([], 0, False)):
+        (tmp_path / "x.jsonl").write_text("\n".join(lines))
+        assert readers.complete(spark, str(tmp_path / "x.jsonl"), expected) is whole
+
+
+def test_plain_lines_and_discovery(spark, tmp_path):
+    raw, filtered = tmp_path / "raw", tmp_path / "filtered"
+    raw.mkdir(), filtered.mkdir()
+    (raw / "a.jsonl").write_text('{"text": "raw"}\n\n')
+    assert readers.line_count(spark, str(raw)) == 2 and readers.text_lines(spark, str(raw)).count() == 1
+    assert [r.text for r in readers.discovered(spark, str(filtered), str(raw)).collect()] == ["raw"]
+    (filtered / "a_filtered.jsonl").write_text('{"text": "kept"}')
+    assert [r.text for r in readers.discovered(spark, str(filtered), str(raw)).collect()] == ["kept"]
+
+
+def test_samples_do_not_depend_on_partitions(spark):
+    df = spark.range(500).selectExpr("id", "concat('t', id) as text")
+    for draw in (lambda d: readers.reservoir(d, 40), lambda d: readers.bernoulli(d, 60, 500)):
+        assert {r.id for r in draw(df.repartition(3)).collect()} == {r.id for r in draw(df.repartition(11)).collect()} != set()
+
+
 def test_log_round_trip(spark, tmp_path):
     path = str(tmp_path / "log")
     readers.append_log(spark.createDataFrame([(1, 0.5)], "step bigint, loss double"), path)

@@ -1,6 +1,7 @@
 import math
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from corpusmill.operators import metrics, mixing, packing, sampling
@@ -29,6 +30,22 @@ def test_categories(spark):
     assert [r.c for r in df.collect()] == ["italian", "c_code", "cpp_code", "c_code", "english", "other_code", None, None]
 
 
+def test_a_source_without_category_is_an_error_unless_allowed(spark):
+    df = spark.createDataFrame([("english_web",), ("odd",)], "source string")
+    with pytest.raises(ValueError, match="odd"):
+        mixing.require_categories(df)
+    assert [r.category for r in mixing.require_categories(df, allow_unknown=True).collect()] == ["english"]
+
+
+def test_the_shuffle_is_the_order_of_its_keys(spark):
+    import hashlib
+
+    md5 = lambda s: hashlib.md5(s.encode()).hexdigest()
+    rows = [(i, i % 16) for i in range(300)]
+    out = [(r.doc_id, r.shard) for r in mixing.shuffled(spark.createDataFrame(rows, "doc_id bigint, shard int").repartition(7)).collect()]
+    assert out == sorted(rows, key=lambda r: (md5(f"42/{r[1]}"), md5(f"42/{r[0]}"), r[0])) != rows
+
+
 def test_packing_conserves_tokens(spark):
     for sizes in ([1022], [1023], [1023, 1024], [5, 3000, 7, 1500], [], [0, 0]):
         df = spark.createDataFrame([("train", i, [4 + i] * n) for i, n in enumerate(sizes)], "split string, doc_id bigint, ids array<int>")
@@ -54,6 +71,60 @@ def test_binary_round_trip(spark, tmp_path):
     assert [t for r in rows for t in r.tokens] == a[: 1025 * 3].astype(int).tolist()
 
 
+def test_what_is_written_is_read_back(spark, tmp_path):
+    folder = str(tmp_path / "train")
+    rows = [(i, [(i * 31 + j) % 65_536 for j in range(16)]) for i in range(50)]
+    df = spark.createDataFrame(rows, "seq_id bigint, tokens array<int>").repartition(5)
+    assert packing.write_binary(df, folder, sequences_per_file=20) == 3
+    assert sum(f.stat().st_size for f in (tmp_path / "train").glob("part-*.bin")) == 50 * 16 * 2
+    flat = np.concatenate([np.fromfile(f, "<u2") for f in sorted((tmp_path / "train").glob("part-*.bin"))])
+    assert flat.tolist() == [t for _, ts in rows for t in ts]
+    back = packing.read_binary(spark, folder, 16, sequences_per_task=7)
+    assert sorted((r.seq_id, list(r.tokens)) for r in back.collect()) == rows
+    assert packing.read_binary(spark, str(tmp_path / "train" / "part-00000.bin"), 16).count() > 0
+    with pytest.raises(Exception, match="16 bits"):
+        packing.write_binary(spark.createDataFrame([(1, [65_536])], "seq_id bigint, tokens array<int>"), str(tmp_path / "wide"))
+
+
+def test_bytes(spark):
+    texts = ["", "a\nb", "però 😀 \x00\x7f", "日本"]
+    out = spark.createDataFrame(list(enumerate(texts)), "i int, t string").select("i", packing.byte_tokens(F.col("t")).alias("ids")).collect()
+    assert {r.i: r.ids for r in out} == {i: [b + 4 for b in t.encode()] for i, t in enumerate(texts)}
+
+
+def test_epochs_and_micro_batches(spark):
+    e = packing.epochs(spark.range(20).withColumnRenamed("id", "seq_id"), 2).collect()
+    first, second = ([r.seq_id for r in e if r.epoch == k] for k in (0, 1))
+    assert sorted(first) == sorted(second) == list(range(20)) and first != second and [r.epoch for r in e] == [0] * 20 + [1] * 20
+    b = packing.micro_batches(spark.range(10).withColumnRenamed("id", "position"), size=4).collect()
+    assert sorted((r.position, r.batch) for r in b) == [(i, i // 4) for i in range(8)]
+
+
+def test_a_missing_token_or_a_wide_vocabulary_is_refused(tmp_path):
+    import json
+
+    def write(vocab):
+        p = tmp_path / "t.json"
+        p.write_text(json.dumps({"model": {"vocab": vocab}, "added_tokens": [{"content": "<bos>", "id": 1}]}))
+        return str(p)
+
+    assert packing._tokenizer_file(write({"a": 2}), ("<bos>",))
+    for vocab, needed in (({"a": 2}, ("<eos>",)), ({"a": 70_000}, ())):
+        with pytest.raises(ValueError):
+            packing._tokenizer_file(write(vocab), needed)
+
+
+def test_many_ranges_are_searched(spark, monkeypatch):
+    import corpusmill.functions.ranges as ranges
+
+    monkeypatch.setattr(ranges, "ROWS_PER_RANGE", 20)
+    monkeypatch.setattr(ranges, "MOST_COMPARED", 8)
+    df = spark.range(3000).select((F.col("id") * 7 % 3000).alias("doc_id"), F.lit(1).alias("k"))
+    assert len(ranges.edges_of(df, "doc_id")) > 8
+    out = mixing.ordinals(df, ["k"], "doc_id").collect()
+    assert all(r.ordinal == r.doc_id + 1 for r in out)
+
+
 def test_smoothing_against_a_loop(spark):
     rng = np.random.default_rng(0)
     rows = [(k, int(s), float(v)) for k in ("a", "b") for s, v in zip(rng.choice(20_000, 500, replace=False), rng.normal(size=500))] + [("a", 20_001, float("nan")), ("c", 1, None), ("a", 20_002, float("inf"))]
@@ -81,6 +152,17 @@ def test_best_and_schedule(spark):
     assert abs(lr(0) - 3e-4 / 3000) < 1e-12 and lr(3000) == lr(56_999) == 3e-4 and abs(lr(80_000) - 1e-5) < 1e-12
 
 
+def test_best_over_many_pieces(spark):
+    rng = np.random.default_rng(1)
+    rows = [(k, int(s), float(v)) for k in ("a", None) for s, v in zip(rng.choice(60_000, 300, replace=False), rng.normal(size=300))]
+    out = {(r.run_id, r.step): (r.best, r.improved) for r in metrics.running_best(spark.createDataFrame(rows, "run_id string, step bigint, val_loss double")).collect()}
+    for k in ("a", None):
+        low = math.inf
+        for s, v in sorted((s, v) for r, s, v in rows if r == k):
+            assert out[k, s] == (min(low, v), v < low)
+            low = min(low, v)
+
+
 def test_log_keeps_the_last_delivery(spark):
     rows = [(1, "r", 5, 1.0, None, "2024-01-01"), (2, "r", 5, 2.0, None, "2024-01-02"), (3, "r", 5, 9.0, None, None), (4, "r", 5, None, 0.5, "2024-01-01"), (5, "r", 5, 3.0, None, "2024-01-02")]
     df = spark.createDataFrame(rows, "log_id bigint, run_id string, step bigint, loss double, val_loss double, d string").selectExpr("log_id", "run_id", "step", "loss", "val_loss", "cast(d as timestamp_ntz) logged_at")
