@@ -37,19 +37,22 @@ def sized_records(counted: DataFrame, ratios: DataFrame) -> DataFrame:
 
 
 def _sums(sizes: DataFrame, dual: dict[str, tuple[float, float]]) -> dict[str, np.ndarray]:
-    """Per category: documents and tokens drawn at the current dual, and the Hessian of the part below the cap."""
+    """Per category: documents and tokens drawn at the current dual, and their derivatives.
+
+    Records at their cap count in the derivatives as if they were just below it, so that these never vanish.
+    """
     a, b = F.lit(0.0), F.lit(0.0)
     for name, (x, y) in dual.items():
         a, b = F.when(F.col("category") == name, F.lit(x)).otherwise(a), F.when(F.col("category") == name, F.lit(y)).otherwise(b)
     z = F.col("n_tokens") / F.col("scale")
     raw = F.exp(F.least(a + b * z, F.lit(50.0)))
-    w, free = F.least(raw, F.col("max_repeats").cast("double")), F.when(raw < F.col("max_repeats"), raw).otherwise(0.0)
+    w = F.least(raw, F.col("max_repeats").cast("double"))
     n = F.col("n")
-    rows = sizes.groupBy("category").agg(*(F.sum(x).alias(k) for k, x in (("d", n * w), ("t", n * w * z), ("h0", n * free), ("h1", n * free * z), ("h2", n * free * z * z)))).collect()
-    return {r["category"]: np.array([r.d, r.t, r.h0, r.h1, r.h2]) for r in rows}
+    rows = sizes.groupBy("category").agg(*(F.sum(x).alias(k) for k, x in (("d", n * w), ("t", n * w * z), ("h2", n * w * z * z)))).collect()
+    return {r["category"]: np.array([r.d, r.t, r.h2]) for r in rows}
 
 
-def solve(records: DataFrame, total: int | None = None, iterations: int = 40, tolerance: float = 1e-6) -> tuple[dict, int]:
+def solve(records: DataFrame, total: int | None = None, iterations: int = 40, tolerance: float = 1e-10) -> tuple[dict, int]:
     """Dual variables of each category, and the total of tokens aimed at.
 
     Without a wanted total it is the largest that meets all ratios exactly within the repeats. A category that has to be
@@ -82,8 +85,9 @@ def solve(records: DataFrame, total: int | None = None, iterations: int = 40, to
             if np.abs(gradient).max() <= tolerance * max(wanted, 1e-9):
                 open_.discard(name)
                 continue
-            hessian = np.array([[s[2], s[3]], [s[3], s[4]]]) + np.eye(2) * 1e-9 * (1 + s[2])
-            step = np.linalg.solve(hessian, gradient)
+            # Newton's step on the logarithms of both sums, which does not run past the cap from far below
+            hessian = np.array([[s[0], s[1]], [s[1], s[2]]]) + np.eye(2) * 1e-9 * (1 + s[0])
+            step = np.linalg.solve(hessian, s[:2] * np.log(wanted / s[:2]))
             step *= min(1.0, 2.0 / max(np.abs(step).max(), 1e-12))
             d["dual"] = (d["dual"][0] + float(step[0]), d["dual"][1] + float(step[1]))
     if open_:

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusmill.llm import balance, budget, containers, language, leakage, provenance, quality, sentences
+from corpusmill.llm import balance, budget, containers, language, leakage, oracle, provenance, quality, sentences
 from corpusmill.plans.lineage import materialize, spread
 
 PROSE_SOURCE = "source rlike '^(italian|english)_'"
@@ -69,6 +69,11 @@ def p3_selection(spark: SparkSession, sf: str) -> DataFrame:
     return _drawn(spark, sf).where("copies > 0").select("doc_id", "category", "rate", "copies")
 
 
+def p3_rates(spark: SparkSession, sf: str) -> DataFrame:
+    drawn = _drawn(spark, sf).groupBy("category").agg(F.count("*").alias("records"), F.sum("n_tokens").alias("available"), (F.sum(F.col("rate") * F.col("n_tokens")) / F.sum("n_tokens")).alias("rate"))
+    return drawn.withColumn("rate", F.round("rate", 4))
+
+
 def p4_passages(spark: SparkSession, sf: str) -> DataFrame:
     docs = _prose(spark, sf)
     return language.passages(docs, language.fit_ngrams(docs), keep=["doc_id", "lang"])
@@ -82,6 +87,10 @@ def p4_found(spark: SparkSession, sf: str) -> DataFrame:
     return found.where(case).join(junk, "doc_id", "left_anti").select("doc_id", F.explode("languages").alias("lang"))
 
 
+def p4_cover(spark: SparkSession, sf: str) -> DataFrame:
+    return p4_passages(spark, sf).groupBy("doc_id").agg(F.min("start_pos").alias("first_pos"), F.max("end_pos").alias("last_pos"), F.sum(F.col("end_pos") - F.col("start_pos")).alias("covered"))
+
+
 def p5_scores(spark: SparkSession, sf: str) -> DataFrame:
     files = _documents(spark, sf).where(F.col("source").rlike("_code$"))
     return provenance.score(files, provenance.fit(files))
@@ -99,6 +108,10 @@ def p6_report(spark: SparkSession, sf: str) -> DataFrame:
     return containers.report(p6_sequences(spark, sf))
 
 
+def p6_documents(spark: SparkSession, sf: str) -> DataFrame:
+    return p6_sequences(spark, sf).groupBy("doc_id").agg(F.sum("n").alias("tokens"), F.count("*").alias("fragments"), F.max("n").alias("longest"))
+
+
 def p7_leaks(spark: SparkSession, sf: str) -> DataFrame:
     return leakage.leaks(_documents(spark, sf), spark.read.parquet(f"{sf}/benchmark.parquet"))
 
@@ -125,9 +138,13 @@ def p8_found(spark: SparkSession, sf: str) -> DataFrame:
     return p8_sentences(spark, sf).select("doc_id", "end_pos")
 
 
+def p8_ends(spark: SparkSession, sf: str) -> DataFrame:
+    return p8_sentences(spark, sf).groupBy("doc_id").agg(F.max("end_pos").alias("last_end"), (F.max("sentence") + 1 == F.count("*")).alias("numbered_through"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {k: f for k, f in globals().items() if k[0] == "p" and k[1].isdigit() and callable(f)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(oracle.SQL)

@@ -53,10 +53,19 @@ def test_no_other_rates_are_nearer_to_the_base(tables):
             assert entropy(w + step) > entropy(w) and entropy(w - step) > entropy(w)
 
 
+@pytest.mark.parametrize("share", [0.001, 0.3, 0.97, 0.9999])
+def test_rates_near_the_cap_converge(spark, share):
+    rows = [(i, "c_code", 4 * t, t) for i, t in enumerate([3, 50, 50, 700, 9])]
+    counted = spark.createDataFrame(rows, "doc_id bigint, source string, n_chars bigint, n_tokens bigint")
+    records = balance.sized_records(counted, spark.createDataFrame([("c_code", 1.0, 4)], "category string, ratio double, max_repeats int"))
+    duals, _ = balance.solve(records, total=int(812 * 4 * share))
+    assert abs(np.exp(duals["c_code"]["dual"][0]) - int(812 * 4 * share) / 812) < 1e-4
+
+
 def test_a_dual_that_does_not_converge_is_an_error(tables):
     records = balance.sized_records(*tables)
     with pytest.raises(RuntimeError):
-        balance.solve(records, iterations=1, tolerance=1e-12)
+        balance.solve(records, iterations=0, tolerance=1e-12)
 
 
 def test_too_many_categories_are_refused(spark, tables):
