@@ -85,7 +85,7 @@ n2 as (select source, s, min(doc_id) as class_id from n1 group by 1, 2),
 near_members as (select doc_id, class_id from n1 join n2 on n1.s = n2.s and n1.source is not distinct from n2.source),
 n3 as (select class_id as id, source, len(s) as n, unnest(s) as x from n2),
 n4 as (select a.id as a, b.id as b from n3 a join n3 b on a.x = b.x and a.source is not distinct from b.source and a.id < b.id group by 1, 2 having count(*) >= 0.8 * (any_value(a.n) + any_value(b.n) - count(*)) - 1e-9),
-n5 as (select id, row_number() over (order by id) as r, coalesce(list(a) filter (a is not null), []) as earlier from (select distinct unnest([a, b]) as id from n4) left join n4 on id = b group by id),
+n5 as materialized (select id, row_number() over (order by id) as r, coalesce(list(a) filter (a is not null), []) as earlier from (select distinct unnest([a, b]) as id from n4) left join n4 on id = b group by id),
 n6 as (select 0::bigint as r, []::bigint[] as stay union all select n5.r, case when list_has_any(earlier, stay) then stay else list_append(stay, id) end from n6 join n5 on n5.r = n6.r + 1),
 n7 as (select stay from n6 order by r desc limit 1),
 near_gone as (select id from n5 where not list_contains((select stay from n7), id))
@@ -96,7 +96,7 @@ p0 as (select doc_id as id, normalised as x, length(normalised) as n, length(nor
 p1 as (select *, case when mid - 100 < 0 then greatest(n + mid - 100, 0) else mid - 100 end as lo from p0),
 p2 as (select id, n, 'p' || sha256(substring(x, 1, 200)) || coalesce(scope, '') as a, 's' || sha256(right(x, 200)) || coalesce(scope, '') as b, 'm' || sha256(substring(x, lo + 1, greatest(mid + 100 - lo, 0))) || coalesce(scope, '') as c from p1),
 p3 as (select fp, row_number() over (order by fp) as f from (select unnest([a, b, c]) as fp from p2) group by 1 having count(*) > 1),
-p4 as (select id, n, x.f as a, y.f as b, z.f as c, row_number() over (order by id) as r from p2 left join p3 x on x.fp = a left join p3 y on y.fp = b left join p3 z on z.fp = c where coalesce(x.f, y.f, z.f) is not null),
+p4 as materialized (select id, n, x.f as a, y.f as b, z.f as c, row_number() over (order by id) as r from p2 left join p3 x on x.fp = a left join p3 y on y.fp = b left join p3 z on z.fp = c where coalesce(x.f, y.f, z.f) is not null),
 scanned as (select 0::bigint as r, null::bigint as id, false as gone, (select list(null::bigint) from p3) as last union all
   select r, id, near, case when near then last else list_transform(last, lambda v, i: case when i in (a, b, c) then n else v end) end from (
     select p4.r, p4.id, a, b, c, n, last, list_bool_or(list_transform([last[a], last[b], last[c]], lambda k: coalesce(abs(n - k) / greatest(n, k, 1)::double < 0.15::double, false))) as near from scanned join p4 on p4.r = scanned.r + 1))
