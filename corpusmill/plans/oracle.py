@@ -202,7 +202,7 @@ SQL = {
     "mtp_mask": f"with {PACKED} select split, seq_id, 1023 as n, len(list_filter(range(1, 1024), lambda i: tokens[i] in (1, 2) or tokens[i + 1] in (1, 2))) as masked from packed",
     "mtp_targets": f"with {PACKED} select split, seq_id, 1022 as n, tokens[4] as first, tokens[1025] as last from packed",
     "piece_counts": f"with a as (select unnest(regexp_extract_all(text, ' ?\\p{{L}}+| ?\\p{{N}}+| ?[^{SPACE_BODY}\\p{{L}}\\p{{N}}]+')) as piece from documents where text is not null) select piece, count(*) as n from a group by 1",
-    "ema_loss": f"with {LOG} select run_id, count(*) as n, round(list_reduce(list(loss order by step), lambda e, x: 0.05::double * x + 0.95::double * e), 6) as ema from training where {FINITE('loss')} group by 1",
+    "ema_loss": f"with {LOG} select run_id, count(*) as n, round(round(list_reduce(list(loss order by step), lambda e, x: 0.05::double * x + 0.95::double * e), 9)::decimal(20, 9), 6)::double as ema from training where {FINITE('loss')} group by 1",
     "running_best": f"with {LOG}, a as (select run_id, step, val_loss, min(val_loss) over (partition by run_id order by step rows unbounded preceding) as best, min(val_loss) over (partition by run_id order by step rows between unbounded preceding and 1 preceding) as b from validation where {FINITE('val_loss')}) select run_id, step, round(best, 6) as best, b is null or val_loss < b as improved from a",
     "capped_history": f"with {LOG}, a as (select run_id, step, loss, row_number() over (partition by run_id order by step desc) as r, count(*) over (partition by run_id) as n from training where {FINITE('loss')}) select run_id, step, round(loss, 4) as value from a where r <= case when n <= 2000 then n else 1500 + (n - 2001) % 501 end",
     "chart_points": f"with {LOG}, a as (select run_id, step, val_loss, row_number() over (partition by run_id order by step desc) as r, count(*) over (partition by run_id) as n from validation where {FINITE('val_loss')}) select run_id, step as x, round(val_loss, 4) as y from a where r <= case when n <= 2000 then n else 1500 + (n - 2001) % 501 end",
