@@ -330,9 +330,8 @@ class Filter:
         return at
 
 
-def _filter(keys: DataFrame) -> Filter:
-    """The filter of a table with a column ``key``: bits are set by tasks and united in the cluster."""
-    n = keys.count()
+def _filter(keys: DataFrame, n: int) -> Filter:
+    """The filter of a table of ``n`` rows with a column ``key``: bits are set by tasks and united in the cluster."""
     power = min(max(FILTER_BITS[0], math.ceil(math.log2(max(32 * n, 1)))), FILTER_BITS[1])
     out = Filter(power)
 
@@ -369,7 +368,7 @@ def item_words(benchmark: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 
 def item_places(items: DataFrame) -> DataFrame:
-    """``k, kind, p, key``: the pairs (kind 2), stock shingles (STOCK) and join shingles (0) of every item.
+    """``k, kind, p, key, width, window``: the pairs (kind 2), stock shingles (STOCK) and join shingles (0) of every item.
 
     Items of fewer words than WIDTH have one join shingle, the whole item.
     """
@@ -378,15 +377,15 @@ def item_places(items: DataFrame) -> DataFrame:
         for b in batches:
             names, parts = [], []
             for k, words in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                numbers = np.array([word_number(w) for w in words], np.uint64)
+                numbers, window = np.array([word_number(w) for w in words], np.uint64), window_of(words)
                 for kind, width in ((2, 2), (STOCK, STOCK), (0, min(WIDTH, len(words)))):
                     keys = shingle_keys(numbers, width)
                     names += [k] * len(keys)
-                    parts.append((np.full(len(keys), kind), np.arange(len(keys)), keys, np.full(len(keys), width)))
-            kind, p, key, width = (np.concatenate(x) for x in zip(*parts)) if parts else (np.zeros(0, np.int64),) * 4
-            yield pa.RecordBatch.from_arrays([pa.array(names, pa.string()), pa.array(kind, pa.int32()), pa.array(p, pa.int32()), pa.array(key.view(np.int64)), pa.array(width, pa.int32())], names=["k", "kind", "p", "key", "width"])
+                    parts.append((np.full(len(keys), kind), np.arange(len(keys)), keys, np.full(len(keys), width), np.full(len(keys), window)))
+            kind, p, key, width, window = (np.concatenate(x) for x in zip(*parts)) if parts else (np.zeros(0, np.int64),) * 5
+            yield pa.RecordBatch.from_arrays([pa.array(names, pa.string()), pa.array(kind, pa.int32()), pa.array(p, pa.int32()), pa.array(key.view(np.int64)), pa.array(width, pa.int32()), pa.array(window, pa.int32())], names=["k", "kind", "p", "key", "width", "window"])
 
-    return items.select("k", "words").mapInArrow(run, "k string, kind int, p int, key bigint, width int")
+    return items.select("k", "words").mapInArrow(run, "k string, kind int, p int, key bigint, width int, window int")
 
 
 def _hits(documents: DataFrame, shared, widths: list[int], together: int, span: int, text: str, keep: str) -> DataFrame:
@@ -530,10 +529,11 @@ def joined(documents: DataFrame, benchmark: DataFrame, text: str = "text", keep:
     items, listed = item_words(benchmark)
     items = materialize(items)
     places = materialize(item_places(items))
-    widths = sorted(r.width for r in places.where("kind = 0").select("width").distinct().collect())
-    signs = items.select(F.size("words").alias("n"), F.size(F.filter("words", lambda w: w.rlike(f"^[{_UNSPACED}]"))).alias("s"))
-    sizes = [r.w for r in signs.select(F.least("n", F.when(F.col("s") * 2 > F.col("n"), WINDOW_SIGNS).otherwise(WINDOW)).alias("w")).distinct().collect()]
-    shared = documents.sparkSession.sparkContext.broadcast(_filter(places.where("kind = 0").select("key").distinct()))
+    joining = places.where("kind = 0")
+    # both sets are small: a width is WIDTH or less, and a window is WINDOW_SIGNS or less
+    met = joining.agg(F.count("*").alias("n"), F.sort_array(F.collect_set("width")).alias("widths"), F.collect_set("window").alias("sizes")).first()
+    widths, sizes = met.widths, met.sizes
+    shared = documents.sparkSession.sparkContext.broadcast(_filter(joining, met.n))
     together, span = min(map(surviving, sizes), default=1), max((w + edits(w) for w in sizes), default=1)
     hits = _hits(documents, shared, widths or [WIDTH], together, span, text, keep)
     frequency = hits.select(F.explode(F.array_distinct("keys")).alias("key")).groupBy("key").agg(F.count("*").alias("n"))

@@ -135,7 +135,7 @@ def test_the_prefix_is_a_small_share(spark):
 
 def test_the_filter_refuses_no_member(spark):
     keys = np.random.default_rng(1).integers(-(1 << 62), 1 << 62, 5000)
-    f = leakage._filter(spark.createDataFrame([(int(k),) for k in keys], "key bigint"))
+    f = leakage._filter(spark.createDataFrame([(int(k),) for k in keys], "key bigint"), 5000)
     assert len(f.among(keys.view(np.uint64))) == 5000
     assert len(f.among(np.random.default_rng(2).integers(0, 1 << 62, 100_000).astype(np.uint64))) < 100
 
